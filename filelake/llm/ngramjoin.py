@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import components, materialise, table
 
 #: Frequent shingles kept in memory at most: 16 bytes each.
-MAX_FREQUENT = 1 << 19
+MAX_FREQUENT = 1 << 21
 #: Documents that may be broadcast to fetch their texts: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -222,11 +222,11 @@ def _prefixes(src: DataFrame, orders, width: int, t_num: int, t_den: int) -> Dat
 def _live_postings(prefixes: DataFrame) -> DataFrame:
     """(token, sig, n, lead, lead_n) for tokens that two sets or more have; the lead is one of them.
 
-    One shuffle by token; windows stream or spill, no token's sets are gathered in memory. Leaders
-    vary over four hashes, so that a hub of a group is soon one of them.
+    One shuffle by token; windows stream or spill, no token's sets are gathered in memory. The lead
+    is the first by a hash, so most tokens of a group of near copies have the same.
     """
     w = Window.partitionBy("token")
-    by = w.orderBy(F.xxhash64("sig", F.col("token") % 4), "sig")
+    by = w.orderBy(F.xxhash64("sig"), "sig")
     led = prefixes.withColumns({"lead": F.first("sig").over(by), "lead_n": F.first("n").over(by), "before": F.lag("sig").over(by)})
     # equal rows from different tasks stand side by side in this order
     led = led.where("before is null or before <> sig").drop("before")
