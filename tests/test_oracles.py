@@ -1,8 +1,7 @@
 """Every query that SQL can say gives the rows that DuckDB gives."""
 
-import math
-
 import duckdb
+import pandas as pd
 import pytest
 
 from filelake.plans import catalogue
@@ -20,7 +19,7 @@ def duck(sf_dir):
 
 def rows(df):
     def text(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if pd.isna(v):
             return ""
         return str(int(v)) if hasattr(v, "__int__") and not isinstance(v, str) and float(v) == int(v) else str(v)
 
