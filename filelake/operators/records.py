@@ -61,10 +61,8 @@ def implied_positions(cells: DataFrame) -> DataFrame:
     """A cell without a column stands right of the cell before it, across rows too."""
     w = Window.partitionBy("file_id", "sheet_no").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_pos = F.last(F.when(F.col("ref_col").isNotNull(), F.struct("ref_col", F.row_number().over(w).alias("n"))), ignorenulls=True)
     numbered = cells.withColumn("n", F.row_number().over(w))
     seen = numbered.withColumn("seen", F.last(F.when(F.col("ref_col").isNotNull(), F.struct("ref_col", "n")), ignorenulls=True).over(upto))
-    del last_pos
     col = F.coalesce(F.col("seen.ref_col") + F.col("n") - F.col("seen.n"), F.col("n") - 1)
     return seen.select("file_id", "sheet_no", "pos", F.col("ref_row").alias("row"), col.alias("col"))
 

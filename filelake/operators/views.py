@@ -69,14 +69,6 @@ def detect_encoding(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.coalesce(bom, F.lit("utf-8")).alias("encoding"), F.coalesce(bom.isNotNull(), F.lit(False)).alias("bom"), (bom.isNull() & valid).alias("guessed"))
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """(file_id, text): UTF-16 by mark, else UTF-8 with replacement characters; the mark is dropped."""
-    c, enc = F.col("content"), detect_encoding(files)
-    both = files.join(enc, "file_id")
-    text = F.when(F.col("encoding") == "utf-16le", F.decode(F.make_valid_utf8(c.cast("string")).cast("binary"), "UTF-8"))
-    return both.select("file_id", F.regexp_replace(F.coalesce(text, F.make_valid_utf8(c.cast("string"))), "^﻿", "").alias("text"))
-
-
 def _runs(data: bytes, min_length: int, max_run: int):
     """(offset, text) of printable runs; a piece ends with the character that brings it to ``max_run`` bytes."""
     for m in RUN.finditer(data):
