@@ -96,11 +96,14 @@ def resolve_part_path(owner: Column, target: Column) -> Column:
     return F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(target.startswith("/"), F.substr(target, F.lit(2))).otherwise(walked)
 
 
+#: Six codes of symbol fonts as text (fixed values).
+SYMBOLS = {"F0B7": "•", "F0A7": "❑", "F0FC": "✓", "F0FE": "■", "F02D": "–", "F020": " "}
+
+
 def symbol_text(code: Column) -> Column:
-    """Six codes of symbol fonts as text, any other as a bullet (fixed values)."""
-    known = {"F0B7": "•", "F0A7": "❑", "F0FC": "✓", "F0FE": "■", "F02D": "–", "F020": " "}
+    """A code of a symbol font as text, an unknown one as a bullet."""
     out = F.lit("•")
-    for k, v in known.items():
+    for k, v in SYMBOLS.items():
         out = F.when(F.upper(code) == k, v).otherwise(out)
     return out
 

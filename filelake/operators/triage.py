@@ -146,20 +146,32 @@ def candidate_union(files: DataFrame) -> DataFrame:
     return candidates_by_extension(files).unionByName(candidates_by_signature(files))
 
 
-def route_files(files: DataFrame) -> DataFrame:
-    """(file_id, extension, viewer_id, source): extension candidates first, then signatures, then the fallback.
+def with_route(files: DataFrame, more=()) -> DataFrame:
+    """``files`` with extension, viewer_id and source: extension candidates first, then signatures, then the fallback.
 
-    The choice is one CASE over the fixed registry, so nothing is shuffled and streams can use it.
+    The choice is one CASE over the registry, so nothing is shuffled and streams can use it.
+    ``more`` are added viewers (id, extensions, sniff, matches), in order after the fixed ones;
+    their tests are columns over ``extension`` and ``head``.
     """
+    known = [(v, e.split(), lambda v=v: _signature(v), lambda v=v: _matches(v)) for v, e in VIEWERS]
     choice = None
     for source in (0, 1):
-        for v, e in VIEWERS:
-            listed = F.col("extension").isin(e.split())
-            test = _matches(v) & (listed if source == 0 else ~listed & _signature(v))
+        for v, e, sniff, matches in [*known, *more]:
+            listed = F.col("extension").isin(list(e))
+            test = matches() & (listed if source == 0 else ~listed & sniff())
             value = F.struct(F.lit(v).alias("viewer_id"), F.lit(source).alias("source"))
             choice = F.when(test, value) if choice is None else choice.when(test, value)
     choice = choice.otherwise(F.struct(F.lit("fallback").alias("viewer_id"), F.lit(2).alias("source")))
-    return sniffed(files).select("file_id", "extension", choice.alias("c")).select("file_id", "extension", "c.viewer_id", "c.source")
+    h = F.col("head")
+    tests = {"is_zip": is_zip(h), "is_ole": is_ole(h), "is_pdf": is_pdf(h), "media": media(h), "is_text": F.coalesce(is_probably_text(h), F.lit(False))}
+    sniffed_ = files.withColumns({"extension": file_extension(F.col("name")), "head": F.substring("content", 1, HEAD)}).withColumns(tests)
+    chosen = sniffed_.withColumn("c", choice).withColumns({"viewer_id": F.col("c.viewer_id"), "source": F.col("c.source")})
+    return chosen.drop("head", "c", *tests)
+
+
+def route_files(files: DataFrame) -> DataFrame:
+    """(file_id, extension, viewer_id, source); the content goes no further."""
+    return with_route(files).select("file_id", "extension", "viewer_id", "source")
 
 
 def mislabelled_files(files: DataFrame) -> DataFrame:
@@ -174,8 +186,7 @@ def mislabelled_files(files: DataFrame) -> DataFrame:
 
 def route_report(files: DataFrame) -> DataFrame:
     """Files and bytes per viewer and extension, with totals."""
-    sizes = files.select("file_id", F.octet_length("content").cast("long").alias("bytes"))
-    routed = route_files(files).join(sizes, "file_id")
+    routed = with_route(files).withColumn("bytes", F.octet_length("content").cast("long"))
     return routed.rollup("viewer_id", "extension").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
@@ -183,3 +194,55 @@ def encrypted_packages(files: DataFrame) -> DataFrame:
     """OLE files whose bytes hold both stream names of an encrypted package (UTF-16LE)."""
     hold = lambda name: F.hex("content").contains(name.encode("utf-16-le").hex().upper())
     return files.where(is_ole(F.col("content")) & hold("EncryptedPackage") & hold("EncryptionInfo")).select("file_id")
+
+
+#: MIME types by extension of package images and of files inside archives (fixed values).
+IMAGE_MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "svg": "image/svg+xml"}
+NESTED_MIME = {
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml",
+    "pdf": "application/pdf", "mp4": "video/mp4", "mp3": "audio/mpeg",
+}
+#: Families and kinds of document extensions (fixed values).
+SUB_FORMATS = {
+    "html": ("doc", "html"), "htm": ("doc", "html"), "svg": ("doc", "svg"), "md": ("doc", "markdown"), "markdown": ("doc", "markdown"),
+    **{e: ("office", e) for e in ("docx", "xlsx", "pptx")}, **{e: ("legacy", e) for e in LEGACY}, **{e: ("odf", e) for e in ("ods", "odt", "odp")},
+}
+
+
+def _by_extension(path: Column, kinds: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)))
+
+
+def sniff_image_mime(content: Column) -> Column:
+    """The MIME type of an image by its first bytes; SVG only where the first 1,024 bytes are plain; else null."""
+    view = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    view = F.when(_starts(content, "EFBBBF"), F.substr(view, F.lit(4))).otherwise(view)
+    svg = view.rlike(r"\A[\x00-\x7E]*\z") & (view.rlike(r"\A\s*<svg") | (view.rlike(r"\A\s*<\?xml") & view.contains("<svg")))
+    return (
+        F.when(_starts(content, "89504E47"), "image/png")
+        .when(_starts(content, "FFD8FF"), "image/jpeg")
+        .when(_starts(content, "474946383761") | _starts(content, "474946383961"), "image/gif")
+        .when(_starts(content, "52494646") & _at(content, 8, "57454250"), "image/webp")
+        .when(_starts(content, "424D"), "image/bmp")
+        .when(_starts(content, "00000100"), "image/x-icon")
+        .when(svg, "image/svg+xml")
+    )
+
+
+def image_mime(content: Column, path: Column) -> Column:
+    """The MIME type by bytes, else by extension, else null."""
+    return F.coalesce(sniff_image_mime(content), _by_extension(path, IMAGE_MIME))
+
+
+def nested_mime(path: Column) -> Column:
+    """The MIME type of an archive entry by its extension, empty where unknown."""
+    return F.coalesce(_by_extension(path, NESTED_MIME), F.lit(""))
+
+
+def sub_format(files: DataFrame) -> DataFrame:
+    """(file_id, extension, family, kind) by extension, null where it is no document's; a map lookup, no join."""
+    ext = file_extension(F.col("name"))
+    known = F.create_map(*[x for e, (f, k) in SUB_FORMATS.items() for x in (F.lit(e), F.struct(F.lit(f).alias("family"), F.lit(k).alias("kind")))])
+    found = files.select("file_id", ext.alias("extension")).withColumn("f", F.try_element_at(known, F.col("extension")))
+    return found.select("file_id", "extension", "f.family", "f.kind")

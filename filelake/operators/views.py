@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window
@@ -109,3 +111,54 @@ def cap_strings(strings: DataFrame, max_n: int = 200_000, max_chars: int = 16_00
 def strings_summary(strings: DataFrame, max_n: int = 200_000, max_chars: int = 16_000_000) -> DataFrame:
     found = strings.groupBy("file_id").agg(F.count("*").alias("found"), F.sum(F.length("text")).alias("chars"))
     return found.select("file_id", "found", ((F.col("found") > max_n) | (F.col("chars") > max_chars)).alias("truncated"))
+
+
+#: Labels that a user can choose from (fixed values), and the codec of each label besides UTF-8.
+ENCODINGS = ["utf-8", "windows-1251", "ibm866", "koi8-r", "shift_jis"]
+CODECS = {
+    "windows-1251": "cp1251", "ibm866": "cp866", "koi8-r": "koi8_r", "shift_jis": "cp932", "windows-1252": "cp1252", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be",
+}
+
+
+def encoding_options(detected: DataFrame) -> DataFrame:
+    """(file_id, ord, label): the supported labels, and the detected one where it is none of them. Within each row, no shuffle."""
+    labels = F.array_distinct(F.concat(F.array(*map(F.lit, ENCODINGS)), F.array("encoding")))
+    return detected.select("file_id", F.posexplode(labels).alias("ord", "label"))
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """(file_id, text) of (file_id, encoding, truncated, content): malformed bytes become U+FFFD, a byte order mark goes.
+
+    UTF-8 and unknown labels stay in the JVM; other code pages go through an Arrow helper, which
+    gets no other bytes. The end of a truncated file that cuts a character is dropped.
+    """
+    label, content = F.lower("encoding"), F.col("content")
+    other = label.isin(list(CODECS))
+
+    @F.pandas_udf("string")
+    def coded(data: pd.Series, labels: pd.Series, cut: pd.Series) -> pd.Series:
+        # bytes that a single-byte code page leaves open are control characters
+        codecs.register_error("control", lambda e: ("".join(map(chr, e.object[e.start : e.end])), e.end))
+
+        def one(b, name, truncated):
+            if b is None:
+                return None
+            errors = "control" if name.startswith("windows") else "replace"
+            text = codecs.getincrementaldecoder(CODECS[name])(errors).decode(b, not truncated)
+            return text.removeprefix("\ufeff") if name.startswith("utf") else text
+
+        return pd.Series([one(*x) for x in zip(data, labels, cut, strict=True)], dtype=object)
+
+    view = F.decode(content, "ISO-8859-1")
+    whole = F.when(F.col("truncated"), F.encode(F.regexp_replace(view, TAIL, ""), "ISO-8859-1")).otherwise(content)
+    utf8 = F.regexp_replace(F.make_valid_utf8(whole.cast("string")), "^\ufeff", "")
+    helped = coded(F.when(other, content), label, F.coalesce("truncated", F.lit(False)))
+    return files.select("file_id", F.when(other, helped).otherwise(utf8).alias("text"))
+
+
+def clean_paragraphs(texts: DataFrame, word: bool = True) -> DataFrame:
+    """(file_id, para_no, text): split at CR and FF, controls dropped, trimmed, blank ones left out; ``word`` makes cell marks and line breaks blanks."""
+    text = F.regexp_replace("text", r"[\x07\x0B]", " ") if word else F.col("text")
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0E-\x1F\x7F]", ""), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    parts = F.filter(F.transform(F.split(text, r"[\r\x0C]+"), clean), lambda x: x != "")
+    return texts.select("file_id", F.posexplode(parts).alias("para_no", "text"))

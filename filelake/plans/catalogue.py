@@ -321,7 +321,7 @@ def _(spark, d):
     return R.list_numbering(frame(spark, d, "fx_paras"), frame(spark, d, "fx_levels"))
 
 
-@query("explode_archives", "select doc_id % 20 as file_id, 'd/' || doc_id || '.txt' as path, octet_length(encode(text)) as size, upper(md5(text)) as md5 from documents", "fx_opens")
+@query("explode_archives", "select cast(floor(doc_id / 50) as bigint) as file_id, 'd/' || doc_id || '.txt' as path, octet_length(encode(text)) as size, upper(md5(text)) as md5 from documents", "fx_opens")
 def _(spark, d):
     import io
     import zipfile
@@ -336,7 +336,7 @@ def _(spark, d):
                 z.writestr(f"d/{k}.txt", text)
         return pa.table({"file_id": pa.array([t.column("file_id")[0].as_py()], pa.int64()), "content": pa.array([buffer.getvalue()], pa.binary())})
 
-    docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 20).alias("file_id"), "doc_id", "text")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 50).alias("file_id"), "doc_id", "text")
     zips = docs.groupBy("file_id").applyInArrow(pack, "file_id long, content binary")
     return R.explode_archives(zips).select("file_id", "path", "size", F.upper(F.md5("content")).alias("md5"))
 
@@ -372,3 +372,6 @@ for _name, _f in (
     ("md_tasks", lambda s, d: M.md_tasks(_blocks(s, d))), ("md_code_blocks", lambda s, d: M.md_code_blocks(_blocks(s, d))),
 ):
     QUERIES[_name] = _f
+
+
+from . import documents as _documents  # noqa: E402, F401  registers its queries here

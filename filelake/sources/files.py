@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,18 @@ def _named(raw: DataFrame) -> DataFrame:
     )
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back; without that setting the session gets a temporary one."""
+    spark, schema = df.sparkSession, df.schema
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="filelake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file_id, name, mime, size, content) of every file below ``path``; content is read only if it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)

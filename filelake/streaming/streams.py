@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.triage import route_files
+from ..operators.views import RUN, TAIL, _runs
+
+#: An unfinished character at the end of bytes.
+CUT = re.compile(TAIL.removesuffix("$").encode("latin-1") + rb"\Z")
 
 
 def triage_stream(files: DataFrame) -> DataFrame:
@@ -23,3 +34,48 @@ def scan_progress(chunks: DataFrame) -> DataFrame:
     """Bytes read of each file's total, as whole percent."""
     read = chunks.groupBy("file_id").agg(F.sum("bytes").alias("bytes_read"), F.max("total").alias("total"))
     return read.withColumn("percent", F.floor(F.col("bytes_read") * 100 / F.greatest("total", F.lit(1))).cast("long"))
+
+
+def _settled(buffer: bytes, max_run: int) -> int:
+    """How many bytes of a buffer can be scanned now: up to the last run that more bytes could lengthen, less its full pieces."""
+    cut = CUT.search(buffer[-3:])
+    body = len(buffer) - (len(cut.group()) if cut else 0)
+    at = next((m.start() for m in RUN.finditer(buffer, 0, body) if m.end() == body), body)
+    while at + max_run <= body:
+        at += max_run
+        while at < body and buffer[at] & 0xC0 == 0x80:
+            at += 1
+    return at
+
+
+def strings_stream(chunks: DataFrame, min_length: int = 4, max_run: int = 4096) -> DataFrame:
+    """(file_id, offset, text) of printable strings in (file_id, offset, data, last) chunks that come in any order.
+
+    The state of a file is its open run, the next offset and chunks that came early. A chunk that
+    ends at or before the next offset is a repeat and dropped. The chunk marked ``last`` ends a
+    file; the result is that of ``extract_strings`` on whole files, however they are cut.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, carry, early = state.get if state.exists else (0, b"", pickle.dumps({}))
+        early, found, done = pickle.loads(early), [], at < 0
+        for frame in frames:
+            for offset, data, last in zip(frame["offset"], frame["data"], frame["last"], strict=True):
+                if offset + len(data) > at or (last and offset == at):
+                    early[int(offset)] = (bytes(data), bool(last))
+        while not done and at in early:
+            data, done = early.pop(at)
+            buffer, start = bytes(carry) + data, at - len(carry)
+            ready = len(buffer) if done else _settled(buffer, max_run)
+            found += [(start + o, text) for o, text in _runs(buffer[:ready], min_length, max_run)]
+            at, carry = at + len(data), buffer[ready:]
+            early = {o: x for o, x in early.items() if o + len(x[0]) > at or (x[1] and o == at)}
+            if not data and not done:
+                break
+        # a finished file keeps a mark, so that repeats stay without effect
+        state.update((-1, b"", pickle.dumps({})) if done else (at, carry, pickle.dumps(early)))
+        yield pd.DataFrame({"file_id": [key[0]] * len(found), "offset": [o for o, _ in found], "text": [t for _, t in found]}).astype({"file_id": "int64", "offset": "int64"})
+
+    return chunks.groupBy("file_id").applyInPandasWithState(
+        update, "file_id long, offset long, text string", "next long, carry binary, early binary", "append", GroupStateTimeout.NoTimeout
+    )
