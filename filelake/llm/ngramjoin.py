@@ -250,10 +250,11 @@ def _links(src: DataFrame, postings: DataFrame, reps: DataFrame, orders, width:
         postings.where("sig <> lead").where(sized("n", "lead_n")).select(*pair("sig", "n", "lead", "lead_n")).distinct()
     )
     members = postings.select("sig").distinct().join(reps, "sig")
+    # two bytes of each token: what is equal stays equal, so that no pair is lost, and few others pass
     second = materialise(
-        _sets(src, members, width, lambda s: np.sort(orders.value.prefix(s, 1, prefix_length(len(s), t_num, t_den)).astype(np.uint32)))
+        _sets(src, members, width, lambda s: np.sort(orders.value.prefix(s, 1, prefix_length(len(s), t_num, t_den)).astype(np.uint16)))
     )
-    exact = lambda pairs: _verified(src, _sharing(pairs, second, np.uint32, lambda x, y: least_shared(x, y, t_num, t_den)), reps, width, t_num, t_den)
+    exact = lambda pairs: _verified(src, _sharing(pairs, second, np.uint16, lambda x, y: least_shared(x, y, t_num, t_den)), reps, width, t_num, t_den)
     first = exact(stars)
     own = components(first).select(F.col("id").alias("sig"), F.col("component").alias("own"))
     placed = postings.join(own, "sig", "left").join(own.toDF("lead", "led_by"), "lead", "left")
@@ -273,7 +274,10 @@ def _links(src: DataFrame, postings: DataFrame, reps: DataFrame, orders, width:
 
 
 def _sets(src: DataFrame, members: DataFrame, width: int, part) -> DataFrame:
-    """(sig, tokens): of each set in ``members`` (sig, rep) the array that ``part`` gives, as bytes."""
+    """(sig, tokens): of each set in ``members`` (sig, rep) the array that ``part`` gives, as bytes.
+
+    Within each row, no shuffle; documents that share a key may add sets twice, or sets that nobody asked for.
+    """
 
     def run(batches):
         shingler = Shingler(width)
@@ -287,8 +291,7 @@ def _sets(src: DataFrame, members: DataFrame, width: int, part) -> DataFrame:
     ids = members.select(F.col("rep").alias("key")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    found = src.join(ids, "key", "left_semi").select("text").mapInArrow(run, "sig long, tokens binary")
-    return found.groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    return src.join(ids, "key", "left_semi").select("text").mapInArrow(run, "sig long, tokens binary")
 
 
 def _sharing(pairs: DataFrame, sets: DataFrame, kind, least) -> DataFrame:
@@ -311,11 +314,11 @@ def _sharing(pairs: DataFrame, sets: DataFrame, kind, least) -> DataFrame:
 
 def _verified(src: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, t_num: int, t_den: int) -> DataFrame:
     """Pairs (a, b) whose whole sets are similar enough."""
-    pairs = materialise(pairs)
+    pairs = materialise(pairs.distinct())
     members = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps, "sig")
     whole = materialise(_sets(src, members, width, lambda s: s))
     least = lambda x, y: -(-(x + y) * t_num // (t_num + t_den))
-    return materialise(_sharing(pairs, whole, np.uint64, least).select("a", "b"))
+    return materialise(_sharing(pairs, whole, np.uint64, least).select("a", "b").distinct())
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
