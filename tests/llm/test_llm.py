@@ -156,6 +156,26 @@ def test_line_dedup(spark, hard, empty):
     assert linededup.dedup_lines(hard).count() == len(HARD) and linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_equals_brute_force(spark):
+    rnd, lines = random.Random(6), []
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 9)))
+    for n in (5, 6, 7, 8, 10, 14, 20, 30, 50, 120):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            lines.append(" ".join(base))
+            for changed in (1, max(1, n // 10), max(1, n // 6)):
+                copy = [*base]
+                for at in rnd.sample(range(n), changed):
+                    copy[at] = word()
+                lines.append(" ".join(copy))
+    docs = spark.createDataFrame([(k, t, "") for k, t in enumerate(lines)], DOCS)
+    a, b = docs.selectExpr("doc_id as a", "text as s"), docs.selectExpr("doc_id as b", "text as t")
+    alike = a.crossJoin(b).where("a < b and levenshtein(s, t) <= floor(0.2 * greatest(length(s), length(t)) + 1e-9)").select("a", "b")
+    assert alike.count() > 200
+    later = {r.id for r in common.components(alike).where("id <> component").collect()}
+    assert {r.doc_id for r in linededup.removed_lines(docs).collect()} == later
+
+
 def test_decontamination(spark, hard, empty):
     item = "A train leaves Paris at 9 and runs 300 km to Lyon before Anna counts 12 apples on the table."
     bench = spark.createDataFrame([(1, item), (2, "tiny"), (3, None)], "item_id long, text string")
