@@ -23,8 +23,8 @@ from .common import materialise, shared_dir, table
 VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
-#: Longest header block that is taken for one; a longer one is damage.
-MAX_HEADER = 65_536
+#: Bytes first read for a header block, and its greatest length; the writer refuses a longer one, the reader takes it for damage.
+HEADER_STEP, MAX_HEADER = 65_536, 64 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -42,7 +42,10 @@ def record(kind: str, record_id: str, payload: bytes, digest: str, uri: str = ""
     if kind == "revisit":
         fields += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "WARC/1.1\r\n".encode() + "\r\n".join(fields).encode() + CRLF * 2 + block + CRLF * 2
+    headers = "WARC/1.1\r\n".encode() + "\r\n".join(fields).encode() + CRLF * 2
+    if len(headers) > MAX_HEADER:
+        raise ValueError(f"headers of {record_id} have {len(headers)} bytes; {MAX_HEADER} can be read")
+    return headers + block + CRLF * 2
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -73,15 +76,17 @@ class _Window:
             del self.buf[: upto - self.base]
             self.base = upto
 
-    def find(self, what: bytes, start: int) -> int:
-        """Offset of the next occurrence, or -1; bytes before it may be dropped."""
+    def find(self, whats: tuple[bytes, ...], start: int) -> int:
+        """Offset of the first occurrence of any of ``whats``, or -1; only bytes before it may be dropped."""
+        longest = max(map(len, whats))
         while True:
-            at = self.buf.find(what, start - self.base)
-            if at >= 0:
-                return self.base + at
+            hits = [x for x in (self.buf.find(what, start - self.base) for what in whats) if x >= 0]
+            # the patterns share no bytes, so one that is cut off at the end of the buffer begins after every whole hit
+            if hits:
+                return self.base + min(hits)
             if self.over:
                 return -1
-            start = max(start, self.base + len(self.buf) - len(what) + 1)
+            start = max(start, self.base + len(self.buf) - longest + 1)
             self.drop(start)
             self.fill(self.base + len(self.buf) + 1)
 
@@ -92,7 +97,8 @@ def _parse(data: bytes) -> tuple[dict | None, int, str]:
         return None, 0, "no version line"
     stop = data.find(CRLF * 2, 0, MAX_HEADER)
     if stop < 0:
-        return None, 0, "no end of headers"
+        torn = any(b":" not in line for line in data[:MAX_HEADER].split(CRLF)[1:-1])
+        return None, 0, "malformed header" if torn else "no end of headers"
     fields = {}
     for line in data[:stop].split(CRLF)[1:]:
         name, colon, value = line.partition(b":")
@@ -161,22 +167,29 @@ def salvage(stream):
         if head.startswith(MAGIC):
             data, end, reason = _member_at(window, at)
             pos = 0
-            while data is not None and pos < len(data):
-                fields, size, reason = _parse(data[pos:] if pos else data)
+            while data is not None and 0 <= pos < len(data):
+                fields, size, failed = _parse(data[pos:] if pos else data)
                 if fields is None:
-                    break
+                    # the member's checksum is right: go on at its next version line
+                    reason = reason or failed
+                    pos = data.find(VERSION, pos + 1)
+                    continue
                 found.append(fields)
                 pos += size
+            after = end if data is not None else at + 1
             ok = data is not None and not reason and found
         elif head == VERSION:
-            stop = window.get(at, at + MAX_HEADER)
-            fields, size, reason = _parse(stop)
+            ahead, after = HEADER_STEP, at + 1
+            fields, size, reason = _parse(window.get(at, at + ahead))
+            while reason == "no end of headers" and ahead < MAX_HEADER and window.fill(at + ahead):
+                ahead *= 4
+                fields, size, reason = _parse(window.get(at, at + ahead))
             if fields is None and reason == "truncated block" and window.fill(at + size):
                 fields, size, reason = _parse(window.get(at, at + size))
             ok, end = fields is not None, at + size
             found = [fields] if ok else []
         else:
-            ok, reason = False, "no record here"
+            ok, reason, after = False, "no record here", at + 1
         if ok:
             if bad >= 0:
                 yield "gap", bad, at - bad, why, None
@@ -188,11 +201,10 @@ def salvage(stream):
             continue
         if bad < 0:
             bad, why = at, reason
-        # records of a member before its damaged one are whole: keep them, quarantine the member's bytes
+        # records of a member around its damaged one are whole: keep them, quarantine the member's bytes
         for fields in found:
             yield "record", at, 0, "in a damaged member", fields
-        nexts = [x for x in (window.find(MAGIC, at + 1) if not head.startswith(VERSION) or True else -1, window.find(VERSION, at + 1)) if x >= 0]
-        at = min(nexts) if nexts else -1
+        at = window.find((MAGIC, VERSION), after)
         if at < 0:
             break
     end = window.base + len(window.buf)

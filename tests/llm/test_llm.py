@@ -97,6 +97,25 @@ def test_warc_salvage():
     assert gzip.decompress(members[0]) == recs[0] and read(b"") == []
 
 
+def test_warc_salvage_of_large_archives():
+    rnd = random.Random(8)
+    payloads = [rnd.randbytes(50_000) for _ in range(200)]
+    recs = [warc.record("response", f"urn:page:{k}", p, warc.sha1_base32(p)) for k, p in enumerate(payloads)]
+    read = lambda b: [(k, f and f["warc-record-id"]) for k, _, _, _, f in warc.salvage(io.BytesIO(b))]
+    ids = [("record", f"<urn:page:{k}>") for k in range(len(recs))]
+    for parts in ([warc.member(r, 1) for r in recs], recs):
+        bad = bytearray(parts[2])
+        bad[len(bad) // 2] ^= 0xFF
+        assert read(b"".join([*parts[:2], bytes(bad), *parts[3:]])) == [*ids[:2], ("gap", None), *ids[3:]]
+    # a damaged record inside a member that is whole
+    bad = recs[1].replace(b"Content-Length", b"Content-Lenght")
+    both = warc.member(b"".join([recs[0], bad, recs[2]])) + warc.member(recs[3])
+    assert read(both) == [ids[0], ids[2], ("gap", None), ids[3]]
+    # headers longer than the first bytes read for them
+    far = warc.record("response", "urn:page:0", b"x", warc.sha1_base32(b"x"), "u" * 300_000)
+    assert read(far + recs[1]) == read(warc.member(far) + recs[1]) == ids[:2]
+
+
 def test_warc_pages(spark):
     rows = [(1, "u", "a"), (2, "u", "a"), (3, None, None), (4, "u", ""), (5, "u", "é" * 100_000), (2, "u", "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
