@@ -2,8 +2,9 @@
 
 Random-hyperplane leaves start a neighbour graph; rounds of joins among neighbours of neighbours
 refine it; edges at the threshold are kept. As a list that is full of such edges is saturated,
-lists are then enlarged to the whole group that the threshold graph has around them, compared
-block by block. ``audit_recall`` compares with brute force.
+groups of such vectors are compared with each other wherever the angle between their centres
+allows a link, and lists are then enlarged to the whole group that the threshold graph has around
+them, compared block by block. ``audit_recall`` compares with brute force.
 """
 
 from __future__ import annotations
@@ -126,6 +127,65 @@ def refine(graph: DataFrame, base: DataFrame, k: int, rounds: int, settle: float
     return graph
 
 
+def bridges(graph: DataFrame, groups: DataFrame, base: DataFrame, threshold: float, k: int, block: int = 512, tile: int = 256) -> DataFrame:
+    """A link (a, b) for every pair of groups that have one between vectors with saturated lists.
+
+    A link is in neither list only if both are full of better ones. Such vectors are cut into
+    blocks by group; two blocks can hold a link only if the angle between their centres is at most
+    that of the threshold and both radii, and these pairs are compared whole. Centres are compared
+    in tiles, so their number squared is dealt over tasks of ``tile`` by ``tile``.
+    """
+    full = graph.where((F.col("rank") == k) & (F.col("sim") >= threshold)).select(F.col("a").alias("id"))
+    w = Window.partitionBy("component").orderBy("id")
+    placed = full.join(groups, "id").withColumn("block", F.floor((F.row_number().over(w) - 1) / block))
+    placed = materialise(placed.join(base.select(F.col("rep").alias("id"), "label", "vector"), "id"))
+    kind = placed.schema["label"].dataType.simpleString()
+
+    def centre(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("vector"))
+        c = x.mean(0)
+        c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip((x @ c).min(), -1, 1)))
+        one = t.select(["label", "component", "block"]).slice(0, 1)
+        return one.append_column("vector", pa.array([c.tolist()])).append_column("radius", pa.array([radius]))
+
+    centres = placed.groupBy("component", "block").applyInArrow(centre, f"label {kind}, component long, block long, vector array<double>, radius double")
+    centres = materialise(centres)
+    most = centres.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    if most < 2:
+        return graph.select("a", "b").where("false")
+    tiles = -(-most // tile)
+    own, other = F.col("own"), F.col("other")
+    dealt = centres.withColumn("own", F.pmod(F.xxhash64("component", "block"), F.lit(tiles))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    dealt = dealt.withColumns({"lo": F.least(own, other), "hi": F.greatest(own, other), "side": (own > other).cast("int")})
+
+    def close(t: pa.Table) -> pa.Table:
+        c, b, r, side = (t.column(n).to_numpy() for n in ("component", "block", "radius", "side"))
+        x = _matrix(t.column("vector"))
+        may = np.arccos(np.clip(x @ x.T, -1, 1)) <= np.arccos(threshold) + r[:, None] + r[None] + 1e-6
+        may &= c[:, None] != c[None]
+        across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        i, j = np.nonzero(may & (side[:, None] < side[None]) if across else np.triu(may, 1))
+        return pa.table({"ca": c[i], "ba": b[i], "cb": c[j], "bb": b[j]})
+
+    pairs = materialise(dealt.groupBy("label", "lo", "hi").applyInArrow(close, "ca long, ba long, cb long, bb long"))
+    columns = ["ca", "ba", "cb", "bb", "side", "id", "vector"]
+    left = placed.join(pairs, (placed["component"] == pairs["ca"]) & (placed["block"] == pairs["ba"])).withColumn("side", F.lit(0))
+    right = placed.join(pairs, (placed["component"] == pairs["cb"]) & (placed["block"] == pairs["bb"])).withColumn("side", F.lit(1))
+
+    def best(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        ids, x = t.column("id").to_numpy(), _matrix(t.column("vector"))
+        a, b = side == 0, side == 1
+        s = x[a] @ x[b].T
+        i, j = np.unravel_index(s.argmax(), s.shape)
+        n = int(s[i, j] >= threshold)
+        return _edges([(ids[a][[i]][:n], ids[b][[j]][:n], s[[i], [j]][:n])])
+
+    tiled = left.select(*columns).unionByName(right.select(*columns))
+    return tiled.groupBy("ca", "ba", "cb", "bb").applyInArrow(best, "a long, b long, sim double").select("a", "b")
+
+
 def enlarge(edges: DataFrame, base: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """All links inside the groups of the threshold graph, compared in blocks.
 
@@ -168,6 +228,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     base = materialise(clean_vectors(vectors, key, vector, label))
     graph = refine(start_graph(base, k, trees, seed), base, k, rounds)
     edges = materialise(graph.where(F.col("sim") >= threshold).select("a", "b"))
+    # groups that this joins are compared whole below
+    edges = materialise(edges.union(bridges(graph, components(edges), base, threshold, k)))
     links = materialise(enlarge(edges, base, threshold).select("a", "b").distinct())
     both = links.union(links.select("b", "a")).toDF("a", "b")
     weights = both.join(base.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))

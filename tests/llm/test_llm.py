@@ -225,6 +225,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(vectors.where("false")).count() == 0
 
 
+def test_near_duplicates_of_overlapping_dense_groups(spark):
+    rng = np.random.default_rng(3)
+    a, side = rng.standard_normal((2, 32))
+    a /= np.linalg.norm(a)
+    side -= (side @ a) * a
+    side /= np.linalg.norm(side)
+    centres = [np.cos(t) * a + np.sin(t) * side for t in (0, np.arccos(0.981), 1.2)]
+    x = np.float32(np.concatenate([c + 0.002 * rng.standard_normal((80, 32)) for c in centres]))
+    found = neardup.near_duplicates(spark.createDataFrame([(k, [float(v) for v in r], 0) for k, r in enumerate(x)], "vec_id long, embedding array<float>, label int"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    n = (u @ u.T >= 0.98).sum(1) - 1
+    assert n[:80].max() > 79 and got == {k: (n[k], 160 if k >= 160 else 0) for k in range(240)}
+
+
 def test_language_id(spark, sf_dir, hard, empty):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     train = docs.where("doc_id % 4 <> 2")
