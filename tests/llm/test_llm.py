@@ -175,6 +175,14 @@ def test_line_dedup(spark, hard, empty):
     assert linededup.dedup_lines(hard).count() == len(HARD) and linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_marks_and_short_lines(spark):
+    line = "the quick brown fox jumps"
+    copies = ['"The quick (brown) fox jumps"', "- the quick\u2014brown fox jumps", "the quick\u00a0brown fox jumps", "the    quick    brown     fox jumps", "* the quick 'brown' fox... jumps\r"]
+    rows = [(k, t, "") for k, t in enumerate([line, *copies, "All rights reserved", "all rights reserved.", "这是一个没有空格的重复句子。", "这是一个没有空格的重复句子", "All rights returned"])]
+    gone = {r.doc_id for r in linededup.removed_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert gone == {1, 2, 3, 4, 5, 7, 9}
+
+
 def test_line_dedup_equals_brute_force(spark):
     rnd, lines = random.Random(6), []
     word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 9)))
