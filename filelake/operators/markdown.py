@@ -12,17 +12,42 @@ SETEXT, QUOTE, LIST = r"^\s*(=+|-+)\s*$", r"^\s*>", r"^(\s*)([-*+]|\d{1,9}[.)])\
 TABLE = r"^\s*\|?(\s*:?-+:?\s*\|)+(\s*:?-+:?\s*)\|?\s*$"
 
 
+FENCE, CLOSE = r"^\s*(```|~~~)(.*)$", r"^\s*(```|~~~)\s*$"
+#: Line numbers of a block in which fences are folded at once.
+FENCE_BLOCK = 1024
+
+
+def fence_states(lines: DataFrame) -> DataFrame:
+    """(file_id, line_no, text, before, after) of the lines that look like fences: the open mark before and after each.
+
+    Each block of lines is folded from every state that it may begin in; a file's blocks hand
+    their states on, and then each block is folded from its own. Other lines are never gathered.
+    """
+    mark = F.regexp_extract("text", FENCE, 1)
+    rows = lines.where(mark != "").select("file_id", F.floor(F.col("line_no") / FENCE_BLOCK).alias("block"), F.struct("line_no", "text", mark.alias("mark"), F.col("text").rlike(CLOSE).alias("bare")).alias("row"))
+    blocks = rows.groupBy("file_id", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    step = lambda a, x: F.when(a == "", x["mark"]).when(x["bare"] & (x["mark"] == a), "").otherwise(a)
+    ends = {n: F.aggregate("rows", F.lit(s), step) for n, s in (("none", ""), ("ticks", "```"), ("tildes", "~~~"))}
+    files = blocks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("block", *[c.alias(n) for n, c in ends.items()]))).alias("blocks"))
+    last = lambda a: F.element_at(a, -1)
+    starts = F.aggregate(
+        "blocks", F.array(F.lit("")), lambda a, x: F.array_append(a, F.when(last(a) == "", x["none"]).when(last(a) == "```", x["ticks"]).otherwise(x["tildes"]))
+    )
+    begun = files.select(F.col("file_id").alias("f"), F.explode(F.arrays_zip(F.col("blocks.block").alias("b"), F.slice(starts, 1, F.size("blocks")).alias("start"))).alias("z"))
+    begun = begun.select("f", F.col("z.b").alias("b"), F.col("z.start").alias("start"))
+    own = blocks.join(begun, F.col("file_id").eqNullSafe(F.col("f")) & F.col("block").eqNullSafe(F.col("b")))
+    states = own.select("file_id", "rows", F.aggregate("rows", F.array("start"), lambda a, x: F.array_append(a, step(last(a), x))).alias("states"))
+    flat = states.select("file_id", "states", F.posexplode("rows").alias("at", "row"))
+    return flat.select("file_id", "row.line_no", "row.text", F.get("states", F.col("at")).alias("before"), F.get("states", F.col("at") + 1).alias("after"))
+
+
 def md_blocks(lines: DataFrame) -> DataFrame:
-    """(file_id, line_no, class, level, text): fence state by a fold in line order, the rest by patterns in rank order."""
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    fold = r"""aggregate(rows, struct('' as mark, cast(array() as array<string>) as cls),
-      (a, x) -> case
-        when a.mark <> '' and regexp_extract(x.text, '^\\s*(```|~~~)\\s*$', 1) = a.mark then struct('' as mark, array_append(a.cls, 'fence_close') as cls)
-        when a.mark <> '' then struct(a.mark as mark, array_append(a.cls, 'code') as cls)
-        when regexp_extract(x.text, '^\\s*(```|~~~)(.*)$', 1) <> '' then struct(regexp_extract(x.text, '^\\s*(```|~~~)(.*)$', 1) as mark, array_append(a.cls, 'fence_open') as cls)
-        else struct('' as mark, array_append(a.cls, '') as cls) end).cls"""
-    folded = lines.groupBy("file_id").agg(rows.alias("rows")).select("file_id", F.explode(F.arrays_zip("rows", F.expr(fold).alias("fence"))).alias("z"))
-    flat = folded.select("file_id", "z.rows.line_no", "z.rows.text", "z.fence")
+    """(file_id, line_no, class, level, text): fence state carried in line order, the rest by patterns in rank order."""
+    others = lines.where(F.coalesce(F.regexp_extract("text", FENCE, 1), F.lit("")) == "").select("file_id", "line_no", "text", *[F.lit(None).cast("string").alias(c) for c in ("before", "after")])
+    upto = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = F.coalesce(F.last("after", ignorenulls=True).over(upto), F.lit(""))
+    fence = F.when(F.col("before") == "", "fence_open").when(F.col("before").isNotNull() & (F.col("after") == ""), "fence_close").when(F.coalesce("before", "state") != "", "code").otherwise("")
+    flat = fence_states(lines).unionByName(others).withColumn("state", state).withColumn("fence", fence)
     w = Window.partitionBy("file_id").orderBy("line_no")
     t = F.col("text")
     kind = (

@@ -74,3 +74,35 @@ def test_list_numbering_restarts(spark):
 def test_corrupt_archive_is_a_row(spark):
     got = R.explode_archives(spark.createDataFrame([(1, bytearray(b"PK\x03\x04 no"))], "file_id long, content binary")).collect()
     assert len(got) == 1 and got[0].path is None and got[0].error
+
+
+def test_md_fixture_is_whole(spark, sf_dir):
+    from filelake.plans.fixtures import frame
+
+    assert frame(spark, sf_dir, "fx_md").count() == frame(spark, sf_dir, "fx_lines").count()
+
+
+def test_md_fences_over_blocks(spark):
+    import random
+    import re
+
+    from filelake.operators.markdown import md_blocks
+
+    rnd, rows, want = random.Random(9), [], {}
+    for file_id in range(4):
+        state = ""
+        for line_no in range(1, 5001):
+            text = rnd.choice(["```", "~~~", " ```py", "~~~ x", "```", None]) if rnd.random() < 0.004 else "word"
+            rows.append((file_id, line_no, text))
+            opens, closes = re.search(r"^\s*(```|~~~)(.*)$", text or ""), re.search(r"^\s*(```|~~~)\s*$", text or "")
+            if state and closes and closes[1] == state:
+                state, want[file_id, line_no] = "", "fence_close"
+            elif state:
+                want[file_id, line_no] = "code"
+            elif opens:
+                state, want[file_id, line_no] = opens[1], "fence_open"
+            else:
+                want[file_id, line_no] = "text"
+    rnd.shuffle(rows)
+    got = md_blocks(spark.createDataFrame(rows, "file_id long, line_no long, text string")).collect()
+    assert len(got) == len(rows) and {(r.file_id, r.line_no): r["class"] for r in got} == want
