@@ -36,12 +36,13 @@ def format_bytes(size: Column) -> Column:
 
 
 def col_letters(index: Column) -> Column:
-    """0 is A, 25 Z, 26 AA, 702 AAA."""
-    letter = lambda n: F.char(n + 65)
-    i2, i3 = index - 26, index - 702
-    two = F.concat(letter(F.floor(i2 / 26)), letter(i2 % 26))
-    three = F.concat(letter(F.floor(i3 / 676)), letter(F.floor(i3 / 26) % 26), letter(i3 % 26))
-    return F.when(index < 26, letter(index)).when(index < 702, two).otherwise(three)
+    """0 is A, 25 Z, 26 AA, 702 AAA; up to seven letters, beyond the range of int."""
+    first, out = 0, F.lit(None)
+    for n in range(1, 8):
+        at, first = index - first, first + 26**n
+        letters = F.concat(*[F.char(F.floor(at / 26**k) % 26 + 65) for k in reversed(range(n))])
+        out = F.when(index < first, letters) if n == 1 else out.when(index < first, letters)
+    return out
 
 
 def parse_cell_ref(ref: Column) -> Column:

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SYMBOLS, is_safe_href, resolve_part_path
-from .records import slide_order
+from ..functions.scalars import SYMBOLS, is_safe_href, parse_cell_ref, resolve_part_path
+from .records import implied_positions, last_cell_wins, resolve_cells, sheet_grid, slide_order
 from .triage import image_mime
 
+#: The namespace of relationship ids; hard blanks for a tab of a text (4) and of an ODF text (3), and
+#: bounds of repeated blanks (100) and table rows (1000) are in the walks below.
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 NBSP = " "
 KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
@@ -110,26 +112,46 @@ def parse_workbook(entries: DataFrame) -> DataFrame:
 
 
 def parse_sheet(entries: DataFrame) -> DataFrame:
-    """(file_id, path, row_no, pos, ref, type, style, raw) of every cell of the sheets, ``pos`` in document order.
+    """(file_id, path, row_pos, row_no, pos, ref, type, style, raw) of every cell of the sheets, ``pos`` in document order.
 
-    ``row_no`` is the row element's number from 0 (-1 where it has none, null where it is no
-    number), ``ref`` the cell's own reference, for ``parse_cell_ref`` and ``implied_positions``.
+    ``row_pos`` counts row elements, ``row_no`` is an element's number from 0 (-1 where it has none, null where it
+    is no number), ``ref`` the cell's own reference, for ``parse_cell_ref`` and ``implied_positions``.
     """
 
     def walk(root: ET.Element) -> Iterator[tuple]:
         data, pos = _kid(root, "sheetData"), 0
-        for row in _kids(root if data is None else data, "row"):
+        for at, row in enumerate(_kids(root if data is None else data, "row")):
             number = _whole(row.get("r"), 0)
             for c in _kids(row, "c"):
                 inline, value = _kid(c, "is"), _kid(c, "v")
                 raw = "".join("".join(t.itertext()) for t in inline.iter() if _name(t) == "t") if inline is not None else "".join(value.itertext()) if value is not None else ""
-                yield None if number is None else number - 1, pos, c.get("r"), c.get("t") or "", _whole(c.get("s"), 0), raw
+                yield at, None if number is None else number - 1, pos, c.get("r"), c.get("t") or "", _whole(c.get("s"), 0), raw
                 pos += 1
 
-    fields = {"row_no": "long", "pos": "long", "ref": "string", "type": "string", "style": "long", "raw": "string"}
+    fields = {"row_pos": "long", "row_no": "long", "pos": "long", "ref": "string", "type": "string", "style": "long", "raw": "string"}
     return _walked(entries.where("path like 'xl/worksheets/%.xml'"), walk, fields)
 
 
+def workbook_grids(entries: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
+    """Dense rows of display strings of every sheet of a workbook: ``sheet_grid`` of what the parts hold.
+
+    Sheets are numbered as the workbook lists them; one whose relationship is missing or external is left out.
+    """
+    owner = "xl/_rels/workbook.xml.rels"
+    book, rels = parse_workbook(entries), parse_rels(entries.where(F.col("path") == owner)).where("not external")
+    of = lambda kind, *columns: book.where(F.col("kind") == kind).select("file_id", *columns)
+    sheets = of("sheet", F.col("idx").alias("sheet_no"), F.col("value").alias("rel_id")).join(rels, ["file_id", "rel_id"])
+    sheets = sheets.select("file_id", "sheet_no", resolve_part_path(F.lit(owner), F.col("target")).alias("path"))
+    cells = parse_sheet(entries).join(sheets, ["file_id", "path"]).withColumn("at", parse_cell_ref(F.col("ref")))
+    cells = cells.withColumns({"ref_row": F.col("at.row"), "ref_col": F.col("at.col")})
+    places = implied_positions(cells).withColumnsRenamed({"row": "ref_row", "col": "ref_col"})
+    placed = cells.drop("ref_row", "ref_col").join(places, ["file_id", "sheet_no", "pos"])
+    formats = of("xf", F.col("idx").alias("xf_idx"), F.col("value").cast("long").alias("num_fmt_id"))
+    codes = of("fmt", F.col("idx").alias("num_fmt_id"), F.col("value").alias("code"))
+    values = resolve_cells(placed, of("shared", "idx", F.col("value").alias("text")), formats, codes)
+    return sheet_grid(last_cell_wins(values), max_rows, max_cols)
+
+
 def _run_text(run: ET.Element) -> str:
     """Text of a word run; field codes and drawings have none."""
     out = []
@@ -247,7 +269,7 @@ def slide_text(entries: DataFrame) -> DataFrame:
             yield from enumerate(_shapes(tree))
 
     owner = "ppt/_rels/presentation.xml.rels"
-    refs = _walked(entries.where("path = 'ppt/presentation.xml'"), order, {"seq": "long", "rel_id": "string"})
+    refs = _walked(entries.where("path = 'ppt/presentation.xml'"), order, {"seq": "long", "rel_id": "string"}).withColumn("part", F.lit(owner))
     slides = slide_order(refs, parse_rels(entries.where(F.col("path") == owner)))
     slides = slides.select("file_id", "slide_no", resolve_part_path(F.lit(owner), F.col("target")).alias("path"))
     text = _walked(entries.where("path like 'ppt/%.xml' and path <> 'ppt/presentation.xml'"), walk, {"seq": "long", "text": "string"})

@@ -10,13 +10,14 @@ from typing import NamedTuple
 
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name
 from ..sources.files import cut_lineage
+from .packages import docx_paragraphs, odf_text, slide_text, workbook_grids
 from .records import explode_archives
-from .triage import with_route
+from .triage import is_zip, with_route
 from .views import _runs
 
 
@@ -46,17 +47,36 @@ def _names(data: bytes) -> Iterator[str]:
         yield from (i.filename for i in archive.infolist() if not i.is_dir())
 
 
+def _none(data: bytes) -> Iterator[str]:
+    raise ValueError("no readable block")
+
+
 def _strings(data: bytes) -> Iterator[str]:
     return (text for _, text in _runs(data, 4, 4096))
 
 
+def office_texts(files: DataFrame) -> DataFrame:
+    """(file_id, seq, text) of office packages: paragraphs, slides, ODF text, rows of sheets with tabs between cells."""
+    entries = cut_lineage(explode_archives(files.where(is_zip(F.col("content")))).where("content is not null"))
+    parts = [
+        docx_paragraphs(entries).select("file_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), "seq", "text"),
+        slide_text(entries).select("file_id", F.lit(1).alias("kind"), F.col("slide_no").cast("long").alias("part"), "seq", "text"),
+        odf_text(entries).select("file_id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), "seq", "text"),
+        workbook_grids(entries).select("file_id", F.lit(3).alias("kind"), F.col("sheet_no").alias("part"), F.col("row").alias("seq"), F.array_join("cells", "\t").alias("text")),
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    w = Window.partitionBy("file_id").orderBy("kind", "part", "seq")
+    return found.select("file_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), "text")
+
+
 def extract_all(files: DataFrame, readers: tuple[Reader, ...] = ()) -> DataFrame:
-    """(file_id, viewer_id, seq, text, error): each file by the reader it is routed to, in one pass over the files.
+    """(file_id, viewer_id, seq, text, error): each file by the reader it is routed to.
 
-    Documents and code give lines, archives the names of their entries, all else printable
-    strings. Where a reader fails, its error is a row with a null text and the strings follow.
+    Documents and code give lines, archives the names of their entries, office packages their texts,
+    all else printable strings. Where a reader fails, or an office file gives no text, the error
+    is a row with a null text and the strings follow.
     """
-    extractors = {"doc": _lines, "code": _lines, "archive": _names} | {r.viewer_id: r.extract for r in readers}
+    extractors = {"doc": _lines, "code": _lines, "archive": _names, "office": _none} | {r.viewer_id: r.extract for r in readers}
 
     def rows(viewer: str, data: bytes) -> Iterator[tuple[str | None, str | None]]:
         try:
@@ -76,24 +96,29 @@ def extract_all(files: DataFrame, readers: tuple[Reader, ...] = ()) -> DataFrame
                         ["file_id", "viewer_id", "seq", "text", "error"],
                     )
 
-    routed = with_route(files, [(r.viewer_id, r.extensions, r.sniff, r.matches) for r in readers])
-    return routed.select("file_id", "viewer_id", "content").mapInArrow(run, "file_id long, viewer_id string, seq long, text string, error string")
+    routed = cut_lineage(with_route(files, [(r.viewer_id, r.extensions, r.sniff, r.matches) for r in readers]).select("file_id", "viewer_id", "content"))
+    is_office = F.col("viewer_id") == "office"
+    office = cut_lineage(office_texts(routed.where(is_office)))
+    bare = routed.where(is_office).join(office.select("file_id").distinct(), "file_id", "left_anti")
+    rest = routed.where(~is_office).unionByName(bare.select("file_id", "viewer_id", "content"))
+    whole = office.select("file_id", F.lit("office").alias("viewer_id"), "seq", "text", F.lit(None).cast("string").alias("error"))
+    return whole.unionByName(rest.mapInArrow(run, "file_id long, viewer_id string, seq long, text string, error string"))
 
 
 def expand_nested(files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(file_id, name, content, parent, path, depth): the files, and the entries of archives in them down to ``max_depth``.
+    """(file_id, name, content, parent, path, depth, error): the files, and the entries of archives in them down to ``max_depth``.
 
-    An entry's id is a hash of its archive's id and its path. Each level is written to the shared
+    An archive or entry that can't be read is a row with its error and without content. An entry's id is a hash of its archive's id and its path. Each level is written to the shared
     folder, so a lost executor costs one level, and is dealt out anew by id.
     """
     blank = F.lit(None).cast("string")
-    level = files.select("file_id", "name", "content", F.lit(None).cast("long").alias("parent"), blank.alias("path"), F.lit(0).alias("depth"))
+    level = files.select("file_id", "name", "content", F.lit(None).cast("long").alias("parent"), blank.alias("path"), F.lit(0).alias("depth"), blank.alias("error"))
     out = level
     for depth in range(1, max_depth + 1):
-        archives = with_route(level).where("viewer_id = 'archive'").select("file_id", "content")
-        entries = explode_archives(archives).where("error is null")
+        archives = with_route(level.where("content is not null").drop("error")).where("viewer_id = 'archive'").select("file_id", "content")
+        entries = explode_archives(archives)
         level = entries.select(
-            F.xxhash64("file_id", "path").alias("file_id"), base_name(F.col("path")).alias("name"), "content", F.col("file_id").alias("parent"), "path", F.lit(depth).alias("depth")
+            F.xxhash64("file_id", "path").alias("file_id"), base_name(F.col("path")).alias("name"), "content", F.col("file_id").alias("parent"), "path", F.lit(depth).alias("depth"), "error"
         )
         level = cut_lineage(level.repartition("file_id"))
         out = out.unionByName(level)

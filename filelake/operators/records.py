@@ -14,13 +14,13 @@ from ..functions.scalars import excel_serial_to_date, format_bytes, format_count
 
 
 def resolve_rels(refs: DataFrame, rels: DataFrame) -> DataFrame:
-    """References to parts of the package; external and missing targets drop."""
-    inside = rels.where("not external").select("file_id", "rel_id", "target")
-    return refs.join(inside, ["file_id", "rel_id"]).select("file_id", "seq", "rel_id", "target")
+    """References to parts of the package; external and missing targets drop. Ids hold within the part that refers."""
+    inside = rels.where("not external").select("file_id", "part", "rel_id", "target")
+    return refs.join(inside, ["file_id", "part", "rel_id"]).select("file_id", "part", "seq", "rel_id", "target")
 
 
 def slide_order(refs: DataFrame, rels: DataFrame) -> DataFrame:
-    """Slides numbered from 1 in the order of their references, unresolved ones left out."""
+    """Slides numbered from 1 in the order of the presentation part's references to them, unresolved ones left out."""
     w = Window.partitionBy("file_id").orderBy("seq")
     return resolve_rels(refs, rels).select("file_id", F.row_number().over(w).alias("slide_no"), "target")
 
@@ -37,8 +37,8 @@ def shared_string_lookup(cells: DataFrame, shared: DataFrame) -> DataFrame:
 
 def style_lookup(cells: DataFrame, xf: DataFrame, fmts: DataFrame) -> DataFrame:
     """Style index (missing is 0) to number format id and custom code; out of range is plain."""
-    with_id = cells.withColumn("xf_idx", F.coalesce("style", F.lit(0))).join(F.broadcast(xf), ["file_id", "xf_idx"], "left")
-    return with_id.join(F.broadcast(fmts), ["file_id", "num_fmt_id"], "left").select(*cells.columns, F.coalesce("num_fmt_id", F.lit(0)).alias("num_fmt_id"), "code")
+    with_id = cells.withColumn("xf_idx", F.coalesce("style", F.lit(0))).join(xf, ["file_id", "xf_idx"], "left")
+    return with_id.join(fmts, ["file_id", "num_fmt_id"], "left").select(*cells.columns, F.coalesce("num_fmt_id", F.lit(0)).alias("num_fmt_id"), "code")
 
 
 def resolve_cells(cells: DataFrame, shared: DataFrame, xf: DataFrame, fmts: DataFrame) -> DataFrame:
@@ -58,13 +58,35 @@ def resolve_cells(cells: DataFrame, shared: DataFrame, xf: DataFrame, fmts: Data
 
 
 def implied_positions(cells: DataFrame) -> DataFrame:
-    """A cell without a column stands right of the cell before it, across rows too."""
+    """Positions of cells in document order: (file_id, sheet_no, pos, row, col).
+
+    A cell without a column stands right of the cell before it, across rows too. One without a row
+    stands in its row element ``row_pos``, of number ``row_no``; cells come without these two
+    columns where each has a row of its own.
+    """
     w = Window.partitionBy("file_id", "sheet_no").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = cells.withColumn("n", F.row_number().over(w))
     seen = numbered.withColumn("seen", F.last(F.when(F.col("ref_col").isNotNull(), F.struct("ref_col", "n")), ignorenulls=True).over(upto))
-    col = F.coalesce(F.col("seen.ref_col") + F.col("n") - F.col("seen.n"), F.col("n") - 1)
-    return seen.select("file_id", "sheet_no", "pos", F.col("ref_row").alias("row"), col.alias("col"))
+    col = F.coalesce(F.col("seen.ref_col") + F.col("n") - F.col("seen.n"), F.col("n") - 1).alias("col")
+    if "row_pos" in cells.columns:
+        seen = seen.join(implied_rows(cells), ["file_id", "sheet_no", "row_pos"]).withColumn("ref_row", F.coalesce("ref_row", "row"))
+    return seen.select("file_id", "sheet_no", "pos", F.col("ref_row").alias("row"), col)
+
+
+def implied_rows(cells: DataFrame) -> DataFrame:
+    """(file_id, sheet_no, row_pos, row): numbers of row elements; one whose number is no number follows the greatest row of a cell so far.
+
+    With b(e) such elements up to e that hold a cell of their own row, the greatest row less b(e)
+    only grows where a given number does, so it is a running maximum.
+    """
+    own = F.col("ref_row").isNull()
+    rows = cells.groupBy("file_id", "sheet_no", "row_pos").agg(F.max("row_no").alias("row_no"), F.max("ref_row").alias("given"), F.max(own).alias("own"))
+    w = Window.partitionBy("file_id", "sheet_no").orderBy("row_pos")
+    bare = F.count(F.when(F.col("row_no").isNull() & F.col("own"), 1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("bare", bare).withColumn("over", F.greatest("given", F.when(F.col("own"), F.col("row_no"))) - F.col("bare"))
+    before = F.greatest(F.max("over").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    return rows.withColumn("before", before).select("file_id", "sheet_no", "row_pos", F.coalesce("row_no", F.col("bare") + F.col("before")).alias("row"))
 
 
 def last_cell_wins(cells: DataFrame) -> DataFrame:
@@ -76,7 +98,8 @@ def sheet_extent(cells: DataFrame) -> DataFrame:
 
 
 def sheet_grid(cells: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
-    """Dense rows of display strings, gaps empty; cells beyond the cap are dropped before they are grouped."""
+    """Dense rows of display strings, gaps empty; cells beyond the cap, or above row 0, are dropped before they are grouped."""
+    cells = cells.where("row >= 0 and col >= 0")
     extent = sheet_extent(cells)
     rows, cols = F.least("total_rows", F.lit(max_rows)), F.least("total_cols", F.lit(max_cols))
     frame = extent.select(
@@ -135,17 +158,21 @@ def assemble_pieces(pieces: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def list_numbering(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
-    """Prefix of each list paragraph: a shallower ordered item restarts deeper counters; bullets and unknown lists count nothing."""
-    known = paragraphs.join(F.broadcast(levels), ["num_id", "ilvl"], "left").withColumn("ordered", F.col("fmt").isNotNull() & (F.col("fmt") != "bullet"))
-    w = Window.partitionBy("file_id", "num_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    deepest = 9
-    for k in range(deepest):
-        known = known.withColumn(f"g{k}", F.count(F.when(F.col("ordered") & (F.col("ilvl") < k), 1)).over(w))
-    group = F.element_at(F.array(*[f"g{k}" for k in range(deepest)]), F.col("ilvl").cast("int") + 1)
-    counted = known.withColumn("island", group)
-    c = Window.partitionBy("file_id", "num_id", "ilvl", "island", "ordered").orderBy("seq")
-    prefix = F.when(F.col("ordered"), format_counter(F.row_number().over(c), F.col("fmt"))).otherwise("•")
-    return counted.select("file_id", "seq", prefix.alias("prefix"))
+    """Prefix of each list paragraph: a shallower ordered item restarts deeper counters; bullets and unknown lists count nothing.
+
+    ``levels`` are each file's own definitions, or, without ``file_id``, the same for all files. Any depth: the paragraphs of a list and the levels
+    that it uses are paired, and each level counts how often a shallower one has passed.
+    """
+    key = [c for c in ("file_id", "num_id", "ilvl") if c in levels.columns]
+    known = paragraphs.join(levels, key, "left").withColumn("ordered", F.col("fmt").isNotNull() & (F.col("fmt") != "bullet"))
+    used = known.where("ordered").select("file_id", "num_id", F.col("ilvl").alias("depth")).distinct()
+    # a paragraph counts at its own depth and restarts each deeper one
+    paired = known.where("ordered").join(used, ["file_id", "num_id"]).where("ilvl <= depth")
+    w = Window.partitionBy("file_id", "num_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    island = paired.withColumn("island", F.count(F.when(F.col("ilvl") < F.col("depth"), 1)).over(w)).where("ilvl = depth")
+    c = Window.partitionBy("file_id", "num_id", "depth", "island").orderBy("seq")
+    numbered = island.select("file_id", "seq", format_counter(F.row_number().over(c), F.col("fmt")).alias("prefix"))
+    return numbered.unionByName(known.where("not ordered").select("file_id", "seq", F.lit("•").alias("prefix")))
 
 
 def archive_summary(entries: DataFrame) -> DataFrame:
@@ -200,5 +227,5 @@ def asset_refs(pages: DataFrame) -> DataFrame:
 
 
 def bundle_weight(refs: DataFrame, assets: DataFrame, limit: int = 102_400) -> DataFrame:
-    total = refs.join(F.broadcast(assets), "path").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+    total = refs.join(assets, "path").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
     return total.withColumn("over", F.col("bytes") > limit)

@@ -192,7 +192,7 @@ def route_report(files: DataFrame) -> DataFrame:
 
 def encrypted_packages(files: DataFrame) -> DataFrame:
     """OLE files whose bytes hold both stream names of an encrypted package (UTF-16LE)."""
-    hold = lambda name: F.hex("content").contains(name.encode("utf-16-le").hex().upper())
+    hold = lambda name: F.contains(F.col("content"), F.unhex(F.lit(name.encode("utf-16-le").hex())))
     return files.where(is_ole(F.col("content")) & hold("EncryptedPackage") & hold("EncryptionInfo")).select("file_id")
 
 

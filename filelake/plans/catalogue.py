@@ -143,10 +143,10 @@ def _(spark, d):
 
 @query("triage_stream", f"{ROUTED} select file_id, viewer_id from r", "fx_files")
 def _(spark, d):
-    return streams.triage_stream(files(spark, d)).select("file_id", "viewer_id")
+    return streams.run_once(files(spark, d), lambda s: streams.triage_stream(s).select("file_id", "viewer_id"))
 
 
-@query("encrypted_packages", "select file_id from fx_ole where starts_with(h,'D0CF11E0A1B11AE1') and contains(h,'45006E0063007200790070007400650064005000610063006B00610067006500') and contains(h,'45006E006300720079007000740069006F006E0049006E0066006F00')", "fx_ole")
+@query("encrypted_packages", "select file_id from fx_ole where starts_with(h,'D0CF11E0A1B11AE1') and regexp_matches(h,'^(..)*45006E0063007200790070007400650064005000610063006B00610067006500') and regexp_matches(h,'^(..)*45006E006300720079007000740069006F006E0049006E0066006F00')", "fx_ole")
 def _(spark, d):
     return T.encrypted_packages(frame(spark, d, "fx_ole").select("file_id", F.unhex("h").alias("content")))
 
@@ -225,14 +225,14 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.escape_html(F.col("html")).alias("html"))
 
 
-@query("resolve_rels", "select r.file_id, seq, r.rel_id, target from fx_refs r join fx_rels l on r.file_id=l.file_id and r.rel_id=l.rel_id where not l.external", "fx_rels", "fx_refs")
+@query("resolve_rels", "select r.file_id, r.part, seq, r.rel_id, target from fx_refs r join fx_rels l on r.file_id=l.file_id and r.part=l.part and r.rel_id=l.rel_id where not l.external", "fx_rels", "fx_refs")
 def _(spark, d):
     return R.resolve_rels(frame(spark, d, "fx_refs"), frame(spark, d, "fx_rels"))
 
 
-@query("slide_order", "select r.file_id, cast(row_number() over (partition by r.file_id order by seq) as int) as slide_no, target from fx_refs r join fx_rels l on r.file_id=l.file_id and r.rel_id=l.rel_id where not l.external", "fx_rels", "fx_refs")
+@query("slide_order", "select r.file_id, cast(row_number() over (partition by r.file_id order by seq) as int) as slide_no, target from fx_refs r join fx_rels l on r.file_id=l.file_id and r.part=l.part and r.rel_id=l.rel_id where not l.external and r.part='part0.xml'", "fx_rels", "fx_refs")
 def _(spark, d):
-    return R.slide_order(frame(spark, d, "fx_refs"), frame(spark, d, "fx_rels"))
+    return R.slide_order(frame(spark, d, "fx_refs").where("part = 'part0.xml'"), frame(spark, d, "fx_rels"))
 
 
 @query("shared_string_lookup", "select c.file_id, sheet_no, pos, case when type='s' then coalesce(s.text, raw) else raw end as value from fx_cells c left join fx_shared s on c.file_id=s.file_id and c.type='s' and s.idx = try_cast(raw as bigint)", "fx_cells", "fx_shared")
@@ -267,14 +267,22 @@ def _(spark, d):
     return R.sheet_grid(R.last_cell_wins(_cells(spark, d)), 40, 50).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("implied_positions", """~ a as (select *, case when pos % 5 = 0 then null else ref_col end as rc, row_number() over w as n from fx_cells window w as (partition by file_id, sheet_no order by pos)),
- b as (select *, last_value(rc ignore nulls) over w as lc, last_value(case when rc is not null then n end ignore nulls) over w as ln from a window w as (partition by file_id, sheet_no order by pos rows unbounded preceding))
- select file_id, sheet_no, pos, ref_row as "row", coalesce(lc + n - ln, n - 1) as col from b""", "fx_cells")
+@query("implied_positions", """~ a as (select *, case when pos % 5 = 0 then null else ref_col end as rc, row_number() over w as n, (pos - 1) // 4 as rp, case when (pos - 1) // 4 % 3 <> 1 then (pos - 1) // 4 + (pos - 1) // 4 % 7 end as rn, case when pos % 11 = 0 then pos // 3 end as rr from fx_cells window w as (partition by file_id, sheet_no order by pos)),
+ b as (select *, last_value(rc ignore nulls) over w as lc, last_value(case when rc is not null then n end ignore nulls) over w as ln from a window w as (partition by file_id, sheet_no order by pos rows unbounded preceding)),
+ q as (select file_id, sheet_no, rp, max(rn) as rn, coalesce(max(rr), -1) as given, bool_or(rr is null) as own, row_number() over (partition by file_id, sheet_no order by rp) as k from a group by file_id, sheet_no, rp),
+ z as (with recursive w as (select file_id, sheet_no, rp, k, coalesce(rn, 0) as r, greatest(given, case when own then coalesce(rn, 0) else -1 end) as top from q where k = 1
+  union all select q.file_id, q.sheet_no, q.rp, q.k, coalesce(q.rn, w.top + 1), greatest(w.top, q.given, case when q.own then coalesce(q.rn, w.top + 1) else -1 end) from w join q on q.file_id = w.file_id and q.sheet_no = w.sheet_no and q.k = w.k + 1) select * from w)
+ select b.file_id, b.sheet_no, pos, coalesce(b.rr, z.r) as "row", coalesce(lc + n - ln, n - 1) as col from b join z on b.file_id = z.file_id and b.sheet_no = z.sheet_no and b.rp = z.rp""", "fx_cells")
 def _(spark, d):
-    return R.implied_positions(frame(spark, d, "fx_cells").withColumn("ref_col", F.when(F.col("pos") % 5 != 0, F.col("ref_col"))))
+    # rows of four cells, every third row element without a number, some cells with a row of their own
+    pos, row_pos = F.col("pos"), F.floor((F.col("pos") - 1) / 4)
+    cells = frame(spark, d, "fx_cells").withColumns({"ref_col": F.when(pos % 5 != 0, F.col("ref_col")), "row_pos": row_pos, "row_no": F.when(row_pos % 3 != 1, row_pos + row_pos % 7)})
+    return R.implied_positions(cells.withColumn("ref_row", F.when(pos % 11 == 0, F.floor(pos / 3))))
 
 
-@query("resolve_cells")
+@query("resolve_cells", """~ a as (select c.*, coalesce(s.text, raw) as shown, coalesce(x.num_fmt_id, 0) as f from fx_cells c left join fx_shared s on c.file_id = s.file_id and c.type = 's' and s.idx = try_cast(raw as bigint) left join fx_xf x on c.file_id = x.file_id and c.style = x.xf_idx)
+ select file_id, sheet_no, pos, ref_row as "row", ref_col as col, case type when 's' then shown when 'b' then case raw when '1' then 'TRUE' else 'FALSE' end when 'e' then raw when 'str' then raw
+  else case when f in (14, 22, 164) then strftime(date '1899-12-30' + cast(raw as int), '%Y-%m-%d') when f in (9, 165) then cast(cast(raw as bigint) * 100 as varchar) || '%' else raw end end as value from a""", "fx_cells", "fx_shared", "fx_xf")
 def _(spark, d):
     return R.resolve_cells(*(frame(spark, d, x) for x in ("fx_cells", "fx_shared", "fx_xf", "fx_fmts")))
 
@@ -316,7 +324,15 @@ def _(spark, d):
     return R.archive_listing(frame(spark, d, "fx_entries"), 50)
 
 
-@query("list_numbering")
+ROMAN = "repeat('m', (n//1000)::int) || (['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'])[n//100%10+1] || (['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'])[n//10%10+1] || (['','i','ii','iii','iv','v','vi','vii','viii','ix'])[n%10+1]"
+LETTERS = "case when n <= 26 then chr((96+n)::int) else chr((97+(n-27)//26)::int) || chr((97+(n-27)%26)::int) end"
+
+
+@query("list_numbering", f"""~ k as (select p.*, l.fmt, coalesce(l.fmt <> 'bullet', false) as o from fx_paras p left join fx_levels l using (file_id, num_id, ilvl)),
+ c as (select a.file_id, a.seq, a.fmt, a.num_id, a.ilvl, count(b.seq) as g from k a left join k b on b.file_id = a.file_id and b.num_id = a.num_id and b.o and b.ilvl < a.ilvl and b.seq < a.seq where a.o group by all),
+ m as (select *, row_number() over (partition by file_id, num_id, ilvl, g order by seq) as n from c)
+ select file_id, seq, case fmt when 'decimal' then n::varchar when 'lowerLetter' then {LETTERS} when 'upperLetter' then upper({LETTERS}) when 'lowerRoman' then {ROMAN} else upper({ROMAN}) end || '.' as prefix from m
+ union all select file_id, seq, '•' from k where not o""", "fx_paras", "fx_levels")
 def _(spark, d):
     return R.list_numbering(frame(spark, d, "fx_paras"), frame(spark, d, "fx_levels"))
 
@@ -353,25 +369,51 @@ def _(spark, d):
 
 @query("latest_open", "select user_id, max(generation) as generation, arg_max(ts, generation) as ts from fx_opens group by 1", "fx_opens")
 def _(spark, d):
-    return streams.latest_open(frame(spark, d, "fx_opens"))
+    return streams.run_once(frame(spark, d, "fx_opens"), streams.latest_open, "complete")
 
 
-@query("scan_progress", "~ t as (select file_id, length(h)//2 as total from fx_files), c as (select file_id, sum(length(h)//2) as b from fx_chunks where \"offset\" < 3072 group by 1) select file_id, cast(b as bigint) as bytes_read, total, cast(floor(b*100/greatest(total,1)) as bigint) as percent from c join t using (file_id)", "fx_files", "fx_chunks")
+@query("scan_progress", "~ t as (select file_id, length(h)//2 as total from fx_files), c as (select file_id, sum(length(h)//2) as b from fx_chunks group by 1) select file_id, cast(b as bigint) as bytes_read, total, cast(floor(b*100/greatest(total,1)) as bigint) as percent from c join t using (file_id)", "fx_files", "fx_chunks")
 def _(spark, d):
     total = frame(spark, d, "fx_files").select("file_id", (F.length("h") / 2).cast("long").alias("total"))
-    chunks = frame(spark, d, "fx_chunks").where("offset < 3072").select("file_id", (F.length("h") / 2).cast("long").alias("bytes"))
-    return streams.scan_progress(chunks.join(total, "file_id"))
+    chunks = frame(spark, d, "fx_chunks").select("file_id", (F.length("h") / 2).cast("long").alias("bytes"))
+    return streams.run_once(chunks.join(total, "file_id"), streams.scan_progress, "complete")
+
+
+MD = r"""~ l as (select *, line_no % 12 as k, regexp_replace(text, '^[ \t\f\r]+', '') as t from fx_md),
+ o as (select *, case k when 1 then 'atx' when 2 then 'fence_open' when 3 then 'code' when 4 then 'fence_close' when 5 then 'quote' when 6 then 'list' when 7 then 'text' when 8 then 'rule' when 10 then
+   case when t = '' then 'blank' when regexp_matches(text, '^#{1,6}[ \t].') then 'atx' when t[1] = '>' then 'quote' when t like '%|%' and regexp_matches(t, '^[|:\- ]+$') then 'table_sep'
+    when regexp_matches(replace(t, ' ', ''), '^(-{3,}|[*_]{3,})$') then 'rule' when regexp_matches(t, '^([-+*]|[0-9]{1,9}[.)])[ \t]') then 'list' else 'text' end when 11 then 'rule' else 'blank' end as own from l),
+ b as (select file_id, line_no, k, text, lag(text) over w as above, case when k = 11 and lag(own) over w = 'text' then 'setext' else own end as class from o window w as (partition by file_id order by line_no)),
+ m as (select *, case class when 'atx' then length(text) - length(ltrim(text, '#')) when 'setext' then 2 end as level from b)
+"""
 
 
+@query("md_blocks", MD + "select file_id, line_no, class, level, text from m", "fx_md")
 def _blocks(spark, d):
     return M.md_blocks(frame(spark, d, "fx_md"))
 
 
-for _name, _f in (
-    ("md_blocks", lambda s, d: _blocks(s, d)), ("md_outline", lambda s, d: M.md_outline(_blocks(s, d))), ("md_block_profile", lambda s, d: M.md_block_profile(_blocks(s, d))),
-    ("md_tasks", lambda s, d: M.md_tasks(_blocks(s, d))), ("md_code_blocks", lambda s, d: M.md_code_blocks(_blocks(s, d))),
-):
-    QUERIES[_name] = _f
+@query("md_outline", MD + "select file_id, line_no, level, case class when 'setext' then trim(above) else rtrim(rtrim(rtrim(ltrim(ltrim(text, '#'))), '#')) end as text from m where class in ('atx', 'setext')", "fx_md")
+def _(spark, d):
+    return M.md_outline(_blocks(spark, d))
+
+
+CLASSES = "atx blank code fence_close fence_open list quote rule setext table_sep text".split()
+
+
+@query("md_block_profile", MD + "select file_id, " + ", ".join(f"count(*) filter (where class = '{c}') as {c}" for c in CLASSES) + " from m group by file_id", "fx_md")
+def _(spark, d):
+    return M.md_block_profile(_blocks(spark, d))
+
+
+@query("md_tasks", MD + "select file_id, count(*) filter (where file_id % 2 = 0) as done, count(*) filter (where file_id % 2 = 1) as open from m where k = 6 group by file_id", "fx_md")
+def _(spark, d):
+    return M.md_tasks(_blocks(spark, d))
+
+
+@query("md_code_blocks", MD + "select file_id, row_number() over w as block, 'py' as language, coalesce(content, '') as content from (select file_id, line_no, k, case when lead(k) over v = 3 then lead(text) over v end as content from m window v as (partition by file_id order by line_no)) where k = 2 window w as (partition by file_id order by line_no)", "fx_md")
+def _(spark, d):
+    return M.md_code_blocks(_blocks(spark, d))
 
 
 from . import documents as _documents  # noqa: E402, F401  registers its queries here

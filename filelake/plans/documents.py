@@ -19,7 +19,7 @@ from ..operators import packages as P
 from ..operators import readers, triage
 from ..operators import records as R
 from ..operators import views as V
-from ..sources.files import cut_lineage
+from ..sources.files import cut_lineage, read_files, shared_path, stream_files, write_by_viewer
 from ..streaming import streams
 from .catalogue import ROUTED, SNIFF, files, query
 from .fixtures import frame
@@ -45,6 +45,7 @@ def _parts(ids: list[int], texts: list[str]):
     yield "word/media/unused.png", PNG
     sheet = "".join(f'<row r="{k + 1}"><c r="A{k + 1}" t="s"><v>{k}</v></c><c s="1"><v>{i}</v></c><c t="inlineStr"><is><t>i{i}</t></is></c></row>' for k, i in enumerate(ids))
     yield "xl/workbook.xml", f'<workbook {NS}><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>'
+    yield "xl/_rels/workbook.xml.rels", rels('<Relationship Id="rId1" Type="x" Target="worksheets/sheet1.xml"/>')
     yield "xl/sharedStrings.xml", "<sst>" + "".join(f'<si><r><t xml:space="preserve">{t}</t></r></si>' for _, t in docs) + "</sst>"
     yield "xl/styles.xml", '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="0.0%"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>'
     yield "xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{sheet}</sheetData></worksheet>"
@@ -83,7 +84,7 @@ DOCS = "~ t as (select cast(floor(doc_id / 50) as bigint) as file_id, doc_id, co
 
 
 @query("parse_rels", f"""{DOCS} select file_id, 'word/_rels/document.xml.rels' as part, 'rId' || doc_id as rel_id, case when doc_id % 3 = 0 then 'javascript:x' else 'https://x.example/' || doc_id end as target, true as external from t
- union all select distinct file_id, 'word/_rels/document.xml.rels', 'rIdimg', 'media/i.bin', false from t union all select file_id, 'ppt/_rels/presentation.xml.rels', 'rId' || doc_id, 'slides/s' || doc_id || '.xml', false from t""", "fx_opens")
+ union all select distinct file_id, 'word/_rels/document.xml.rels', 'rIdimg', 'media/i.bin', false from t union all select distinct file_id, 'xl/_rels/workbook.xml.rels', 'rId1', 'worksheets/sheet1.xml', false from t union all select file_id, 'ppt/_rels/presentation.xml.rels', 'rId' || doc_id, 'slides/s' || doc_id || '.xml', false from t""", "fx_opens")
 def _(spark, d):
     return P.parse_rels(_entries(spark, d)).drop("type")
 
@@ -94,12 +95,17 @@ def _(spark, d):
     return P.parse_workbook(_entries(spark, d))
 
 
-@query("parse_sheet", f"""{DOCS} select file_id, 'xl/worksheets/sheet1.xml' as path, k as row_no, k * 3 + j as pos, case j when 0 then 'A' || (k + 1) end as ref, ['s', '', 'inlineStr'][j + 1] as type,
+@query("parse_sheet", f"""{DOCS} select file_id, 'xl/worksheets/sheet1.xml' as path, k as row_pos, k as row_no, k * 3 + j as pos, case j when 0 then 'A' || (k + 1) end as ref, ['s', '', 'inlineStr'][j + 1] as type,
  cast(j = 1 as int) as style, case j when 0 then k::varchar when 1 then doc_id::varchar else 'i' || doc_id end as raw from t, (select unnest([0, 1, 2]) as j)""", "fx_opens")
 def _(spark, d):
     return P.parse_sheet(_entries(spark, d))
 
 
+@query("workbook_grids", f"""{DOCS} select file_id, 0 as sheet_no, k as "row", text || '|' || (doc_id * 100) || '%|i' || doc_id as cells, false as truncated from t""", "fx_opens")
+def _(spark, d):
+    return P.workbook_grids(cut_lineage(_entries(spark, d))).withColumn("cells", F.array_join("cells", "|"))
+
+
 @query("docx_paragraphs", f"""{DOCS} select file_id, k as seq, 'body' as place, ['heading1', 'title', 'body', ''][doc_id % 4 + 1] as style, case when doc_id % 3 = 0 then 7 end as num_id, case when doc_id % 3 = 0 then doc_id % 2 end as ilvl,
  text || repeat(chr(160), 4) || 'L' || doc_id as text from t union all select file_id, count(*), 'cell', '', null, null, 'cell' from t group by file_id""", "fx_opens")
 def _(spark, d):
@@ -127,10 +133,12 @@ def _(spark, d):
     return P.embedded_images(_entries(spark, d))
 
 
-@query("unreadable_files", f"{ROUTED} select file_id from r where viewer_id = 'office' and file_id % 3 <> 0", "fx_files")
+@query("unreadable_files", f"{ROUTED} select file_id from r where viewer_id = 'office'", "fx_files")
 def _(spark, d):
-    rows = files(spark, d)
-    return P.unreadable_files(triage.route_files(rows), rows.where("file_id % 3 = 0").select("file_id"))
+    # ids of real packages are negative: they can be read, the made-up heads can't
+    real = _grouped(spark, d, lambda ids, texts: _zip(_parts(ids, texts))).select((-1 - F.col("file_id")).alias("file_id"), F.lit("p.docx").alias("name"), "content")
+    rows = cut_lineage(files(spark, d).unionByName(real))
+    return P.unreadable_files(triage.route_files(rows), readers.office_texts(rows).select("file_id"))
 
 
 SVG = "~ s as (select doc_id as file_id, case doc_id % 3 when 0 then ' <svg>' when 1 then '<?xml?><svg>' else '<p>' end || 'abc' as t from documents), q as (select file_id, name, case when h is null then '' else h end as h from fx_files)"
@@ -235,7 +243,8 @@ def _(spark, d):
 
 @query("extract_all")
 def _(spark, d):
-    return readers.extract_all(files(spark, d))
+    real = _grouped(spark, d, lambda ids, texts: _zip(_parts(ids, texts))).select((-1 - F.col("file_id")).alias("file_id"), F.lit("p.docx").alias("name"), "content")
+    return readers.extract_all(files(spark, d).unionByName(real))
 
 
 @query("strings_stream")
@@ -243,13 +252,44 @@ def _(spark, d):
     size = F.octet_length("data")
     end = frame(spark, d, "fx_files").select("file_id", (F.length("h") / 2).cast("long").alias("total"))
     chunks = frame(spark, d, "fx_chunks").select("file_id", "offset", F.unhex("h").alias("data")).join(end, "file_id")
-    chunks = cut_lineage(chunks.select("file_id", "offset", "data", (F.col("offset") + size >= F.col("total")).alias("last")))
-    source = cut_lineage(chunks)
-    at, schema = source.inputFiles()[0].rpartition("/")[0], source.schema
-    found = streams.strings_stream(spark.readStream.schema(schema).parquet(at))
-    sink = found.writeStream.format("parquet").option("path", at + "-found").option("checkpointLocation", at + "-state").trigger(availableNow=True).start()
-    sink.awaitTermination()
-    return spark.read.schema("file_id long, offset long, text string").parquet(at + "-found")
+    chunks = chunks.select("file_id", "offset", "data", (F.col("offset") + size >= F.col("total")).alias("last"))
+    return streams.run_once(chunks, streams.strings_stream)
+
+
+def _written(spark, d):
+    """A folder of files, each of many texts, one a line in hex."""
+    path = shared_path(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("value"), (F.col("doc_id") % 4).alias("part"))
+    docs.write.partitionBy("part").text(path)
+    return path
+
+
+def _texts_in(rows):
+    lines = rows.where("name like '%.txt'").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("h"), "size").where("h <> '' or size = 0")
+    return lines.select(F.upper(F.md5(F.unhex("h"))).alias("md5"))
+
+
+MD5 = "select upper(md5(text)) as md5 from documents where text <> ''"
+
+
+@query("read_files", MD5, "fx_opens")
+def _(spark, d):
+    return _texts_in(read_files(spark, _written(spark, d), "*.txt"))
+
+
+@query("stream_files", MD5, "fx_opens")
+def _(spark, d):
+    path, out = _written(spark, d), shared_path(spark)
+    found = _texts_in(stream_files(spark, path))
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@query("write_by_viewer", f"{ROUTED} select file_id, extension, viewer_id, source from r", "fx_files")
+def _(spark, d):
+    path = shared_path(spark)
+    write_by_viewer(files(spark, d), path)
+    return spark.read.parquet(path).select("file_id", "extension", "viewer_id", "source")
 
 
 @query("num_fmt_kind", f"select p_partkey, case when p_partkey % 60 in ({','.join(map(str, S.DATE_IDS))}) then 'date' when p_partkey % 60 in ({','.join(map(str, S.PERCENT_IDS))}) then 'percent' when p_partkey % 2 = 0 then 'percent' else 'date' end as kind from part", "fx_opens")
@@ -283,9 +323,9 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", S.symbol_text(F.when(k == 0, "f0fc").when(k == 1, "F02D").when(k == 2, "F0B7").otherwise("F000")).alias("text"))
 
 
-@query("resolve_part_path", "select file_id, rel_id, case target when '../media/i.png' then 'media/i.png' when 'slides/s.xml' then 'ppt/slides/s.xml' when '/ppt/x.xml' then 'ppt/x.xml' when './a//b.xml' then 'ppt/a/b.xml' else target end as path from fx_rels", "fx_rels")
+@query("resolve_part_path", "select file_id, part, rel_id, case target when '../media/i.png' then 'media/i.png' when 'slides/s.xml' then 'ppt/slides/s.xml' when '/ppt/x.xml' then 'ppt/x.xml' when './a//b.xml' then 'ppt/a/b.xml' else target end as path from fx_rels", "fx_rels")
 def _(spark, d):
-    return frame(spark, d, "fx_rels").select("file_id", "rel_id", S.resolve_part_path(F.lit("ppt/_rels/p.xml.rels"), F.col("target")).alias("path"))
+    return frame(spark, d, "fx_rels").select("file_id", "part", "rel_id", S.resolve_part_path(F.lit("ppt/_rels/p.xml.rels"), F.col("target")).alias("path"))
 
 
 @query("strip_field_codes", "select p_partkey, 'a' || p_name || 'b' as text from part", "fx_opens")

@@ -29,24 +29,24 @@ select file_id, o as offset, substr(h, o * 2 + 1, 2048) as h from (select file_i
 """),
     "fx_entries": (r"""
 select file_id, path, max(size) as size from (
-  select l_orderkey % 500 as file_id, concat('d', l_suppkey % 7, '/p', l_partkey, case l_linenumber when 1 then '.png' when 2 then '.JPG' when 3 then '.svg' when 4 then '.pdf' when 5 then '.txt' when 6 then '' else '/' end) as path, cast(l_quantity * 100 as bigint) as size from lineitem) t
+  select cast(floor(l_orderkey / 50) as bigint) as file_id, concat('d', l_suppkey % 7, '/p', l_partkey, case l_linenumber when 1 then '.png' when 2 then '.JPG' when 3 then '.svg' when 4 then '.pdf' when 5 then '.txt' when 6 then '' else '/' end) as path, cast(l_quantity * 100 as bigint) as size from lineitem) t
 group by file_id, path
 """,) * 2,
     "fx_ole": (r"""
 select o_orderkey as file_id, concat(case o_orderkey % 4 when 0 then '504B0304' else 'D0CF11E0A1B11AE1' end, '00FE',
-  case when o_custkey % 2 = 0 then '45006E0063007200790070007400650064005000610063006B00610067006500' else '' end, '0000FF',
+  case when o_custkey % 2 = 0 then '45006E0063007200790070007400650064005000610063006B00610067006500' when o_custkey % 5 = 1 then '045006E0063007200790070007400650064005000610063006B006100670065000' else '' end, '0000FF',
   case when o_custkey % 3 = 0 then '45006E006300720079007000740069006F006E0049006E0066006F00' else '' end, '0000') as h
 from orders
 """,) * 2,
     "fx_rels": (r"""
-select o_orderkey % 200 as file_id, concat('rId', o_orderkey % 200, '_', o_custkey % 40) as rel_id, min(case o_custkey % 5 when 0 then '../media/i.png' when 1 then 'slides/s.xml' when 2 then '/ppt/x.xml' when 3 then 'https://a.example/x' else './a//b.xml' end) as target, min(o_custkey % 4) = 0 as external from orders where o_custkey % 3 <> 0 group by 1, 2
+select cast(floor(o_orderkey / 100) as bigint) as file_id, concat('part', o_custkey % 2, '.xml') as part, concat('rId', o_orderkey % 10) as rel_id, min(case o_custkey % 5 when 0 then '../media/i.png' when 1 then 'slides/s.xml' when 2 then '/ppt/x.xml' when 3 then 'https://a.example/x' else './a//b.xml' end) as target, min(o_custkey % 4) = 0 as external from orders where o_custkey % 3 <> 0 group by 1, 2, 3
 """,) * 2,
     "fx_refs": (r"""
-select o_orderkey % 200 as file_id, o_orderkey as seq, concat('rId', o_orderkey % 200, '_', o_custkey % 40) as rel_id from orders
+select cast(floor(o_orderkey / 100) as bigint) as file_id, concat('part', o_custkey % 2, '.xml') as part, o_orderkey as seq, concat('rId', o_orderkey % 10) as rel_id from orders
 """,) * 2,
     "fx_cells": (r"""
-select l_suppkey % 20 as file_id, l_linenumber as sheet_no,
-  row_number() over (partition by l_suppkey % 20, l_linenumber order by l_orderkey % 60, l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as pos,
+select cast(floor(l_orderkey / 2000) as bigint) as file_id, l_linenumber as sheet_no,
+  row_number() over (partition by cast(floor(l_orderkey / 2000) as bigint), l_linenumber order by l_orderkey % 60, l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as pos,
   l_orderkey % 60 as ref_row, l_partkey % 55 as ref_col,
   case l_partkey % 7 when 0 then 's' when 1 then 'b' when 2 then 'e' when 3 then 'str' else '' end as type,
   case l_partkey % 7 when 0 then cast(l_orderkey % 130 as varchar(20)) when 1 then cast(l_orderkey % 3 as varchar(20)) when 2 then '#N/A' when 3 then concat('v', l_orderkey) else cast(cast(40000 + l_quantity as bigint) as varchar(20)) end as raw,
@@ -54,25 +54,25 @@ select l_suppkey % 20 as file_id, l_linenumber as sheet_no,
 from lineitem
 """,) * 2,
     "fx_shared": (r"""
-select p_partkey % 20 as file_id, cast(floor(p_partkey / 20) as bigint) as idx, p_name as text from part
+select cast(floor(l_orderkey / 2000) as bigint) as file_id, l_partkey % 120 as idx, min(concat('text ', l_partkey)) as text from lineitem group by 1, 2
 """,) * 2,
     "fx_xf": (r"""
-select f.file_id, n_nationkey as xf_idx, case n_nationkey when 0 then 0 when 1 then 14 when 2 then 9 when 3 then 164 when 4 then 165 when 5 then 166 when 6 then 167 else 22 end as num_fmt_id from (select distinct l_suppkey % 20 as file_id from lineitem) f cross join nation where n_nationkey < 8
+select f.file_id, n_nationkey as xf_idx, case n_nationkey when 0 then 0 when 1 then 14 when 2 then 9 when 3 then 164 when 4 then 165 when 5 then 166 when 6 then 167 else 22 end as num_fmt_id from (select distinct cast(floor(l_orderkey / 2000) as bigint) as file_id from lineitem) f cross join nation where n_nationkey < 8
 """,) * 2,
     "fx_fmts": (r"""
-select f.file_id, 164 + r_regionkey as num_fmt_id, case r_regionkey when 0 then 'yyyy-mm-dd' when 1 then '0.0%' when 2 then '"day" 0' else '[Red]0.00' end as code from (select distinct l_suppkey % 20 as file_id from lineitem) f cross join region where r_regionkey < 4
+select f.file_id, 164 + r_regionkey as num_fmt_id, case r_regionkey when 0 then 'yyyy-mm-dd' when 1 then '0.0%' when 2 then '"day" 0' else '[Red]0.00' end as code from (select distinct cast(floor(l_orderkey / 2000) as bigint) as file_id from lineitem) f cross join region where r_regionkey < 4
 """,) * 2,
     "fx_ods": (r"""
-select l_suppkey % 10 as file_id, l_orderkey % 40 as row_no, case l_orderkey % 5 when 0 then 0 when 1 then 3 when 2 then 10000 else 1 end as row_repeat,
-  row_number() over (partition by l_suppkey % 10, l_orderkey % 40 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as seq,
+select cast(floor(l_orderkey / 2000) as bigint) as file_id, l_orderkey % 40 as row_no, case l_orderkey % 5 when 0 then 0 when 1 then 3 when 2 then 10000 else 1 end as row_repeat,
+  row_number() over (partition by cast(floor(l_orderkey / 2000) as bigint), l_orderkey % 40 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as seq,
   l_partkey % 11 = 0 as covered, case l_partkey % 4 when 0 then 1000 when 1 then 2 else 1 end as span, concat('t', l_partkey) as text
 from lineitem
 """,) * 2,
     "fx_paras": (r"""
-select l_orderkey % 500 as file_id, row_number() over (partition by l_orderkey % 500 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as seq, l_suppkey % 3 as num_id, l_partkey % 4 as ilvl from lineitem
+select cast(floor(l_orderkey / 50) as bigint) as file_id, row_number() over (partition by cast(floor(l_orderkey / 50) as bigint) order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as seq, l_suppkey % 3 as num_id, case when l_partkey % 23 = 0 then 9 else l_partkey % 4 end as ilvl from lineitem
 """,) * 2,
     "fx_levels": (r"""
-select cast(floor(n_nationkey / 4) as bigint) as num_id, n_nationkey % 4 as ilvl, case n_nationkey when 0 then 'decimal' when 1 then 'lowerLetter' when 2 then 'lowerRoman' when 3 then 'bullet' when 4 then 'bullet' when 5 then 'decimal' when 6 then 'upperLetter' else 'upperRoman' end as fmt from nation where n_nationkey < 8
+select f.file_id, cast(floor(n_nationkey / 5) as bigint) as num_id, case n_nationkey % 5 when 4 then 9 else n_nationkey % 5 end as ilvl, case (n_nationkey + f.file_id) % 7 when 0 then 'decimal' when 1 then 'lowerLetter' when 2 then 'lowerRoman' when 3 then 'bullet' when 4 then 'upperRoman' when 5 then 'decimal' else 'upperLetter' end as fmt from (select distinct cast(floor(l_orderkey / 50) as bigint) as file_id from lineitem) f cross join nation where n_nationkey < 10
 """,) * 2,
     "fx_records": (r"""
 select user_id % 50 as file_id, event_id * 10 as offset, case event_id % 7 when 0 then 6 when 1 then 519 when 2 then 60 when 3 then 515 when 4 then 6 when 5 then 513 else 519 end as rec_id, concat('A', event_id % 10) as h from events

@@ -19,14 +19,21 @@ def _named(raw: DataFrame) -> DataFrame:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back; without that setting the session gets a temporary one."""
-    spark, schema = df.sparkSession, df.schema
+def shared_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``. Without that setting a session on one machine gets a temporary folder, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="filelake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

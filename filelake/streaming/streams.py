@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 
@@ -14,11 +14,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.triage import route_files
 from ..operators.views import RUN, TAIL, _runs
+from ..sources.files import shared_path
 
 #: An unfinished character at the end of bytes.
 CUT = re.compile(TAIL.removesuffix("$").encode("latin-1") + rb"\Z")
 
 
+def run_once(rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What ``make`` gives of ``rows`` as a stream, run over all that is there: written to the shared folder, read from there."""
+    spark, source, out = rows.sparkSession, shared_path(rows.sparkSession), shared_path(rows.sparkSession)
+    rows.write.parquet(source)
+    found = make(spark.readStream.schema(rows.schema).parquet(source))
+    sink = found.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    if mode == "append":
+        sink = sink.format("parquet").option("path", out)
+    else:  # each batch holds the whole result so far
+        sink = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    sink.start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def triage_stream(files: DataFrame) -> DataFrame:
     """Routing is one expression per row, so a stream of files needs no state."""
     return route_files(files)

@@ -106,3 +106,76 @@ def test_md_fences_over_blocks(spark):
     rnd.shuffle(rows)
     got = md_blocks(spark.createDataFrame(rows, "file_id long, line_no long, text string")).collect()
     assert len(got) == len(rows) and {(r.file_id, r.line_no): r["class"] for r in got} == want
+
+
+def test_relationships_hold_within_a_part(spark):
+    refs = spark.createDataFrame([(1, "a.xml", 0, "rId1")], "file_id long, part string, seq long, rel_id string")
+    rels = spark.createDataFrame([(1, "a.xml", "rId1", "x", False), (1, "b.xml", "rId1", "y", False), (1, "a.xml", "rId2", "z", True)], "file_id long, part string, rel_id string, target string, external boolean")
+    assert [tuple(r) for r in R.resolve_rels(refs, rels).collect()] == [(1, "a.xml", 0, "rId1", "x")]
+
+
+def test_list_definitions_of_each_file(spark):
+    paragraphs = spark.createDataFrame([(1, 1, 7, 0), (1, 2, 7, 11), (1, 3, 7, 0), (1, 4, 7, 11), (2, 1, 7, 0), (2, 2, 8, 0)], "file_id long, seq long, num_id long, ilvl long")
+    levels = spark.createDataFrame([(1, 7, 0, "decimal"), (1, 7, 11, "lowerRoman"), (2, 7, 0, "bullet")], "file_id long, num_id long, ilvl long, fmt string")
+    got = {(r.file_id, r.seq): r.prefix for r in R.list_numbering(paragraphs, levels).collect()}
+    assert got == {(1, 1): "1.", (1, 2): "i.", (1, 3): "2.", (1, 4): "i.", (2, 1): "•", (2, 2): "•"}
+
+
+def test_grid_leaves_out_row_minus_one(spark):
+    cells = spark.createDataFrame([(1, 0, -1, 0, "lost"), (2, 0, -1, 0, "lost"), (2, 0, 1, 1, "x")], "file_id long, sheet_no long, row long, col long, value string")
+    assert sorted((r.file_id, r.row, r.cells) for r in R.sheet_grid(cells).collect()) == [(2, 0, ["", ""]), (2, 1, ["", "x"])]
+
+
+def test_implied_rows(spark):
+    # row elements: 5; no number; without cells of its own row; no number after a cell of row 20; 3
+    rows = [(0, 0, 4, None, 0), (1, 0, 4, None, None), (2, 1, None, None, 0), (3, 2, None, 20, 0), (4, 3, None, None, None), (5, 4, 2, None, 0)]
+    cells = spark.createDataFrame([(1, 0, *r) for r in rows], "file_id long, sheet_no long, pos long, row_pos long, row_no long, ref_row long, ref_col long")
+    assert [(r.row, r.col) for r in R.implied_positions(cells).orderBy("pos").collect()] == [(4, 0), (4, 1), (5, 0), (20, 0), (21, 1), (2, 0)]
+
+
+def test_encrypted_names_stand_at_whole_bytes(spark):
+    ole, names = bytes.fromhex("D0CF11E0A1B11AE1"), ["EncryptedPackage".encode("utf-16-le"), "EncryptionInfo".encode("utf-16-le")]
+    shifted = bytes.fromhex(f"0{names[0].hex()}0")
+    rows = [(1, ole + names[0] + b"x" + names[1]), (2, ole + shifted + names[1]), (3, names[0] + names[1]), (4, None)]
+    assert [r.file_id for r in T.encrypted_packages(spark.createDataFrame(rows, "file_id long, content binary")).collect()] == [1]
+
+
+def test_long_letters(spark):
+    assert values(spark, [(0,), (701,), (702,), (18277,), (18278,), (475254,)], "n long", S.col_letters(F.col("n"))) == ["A", "ZZ", "AAA", "ZZZ", "AAAA", "AAAAA"]
+
+
+def test_markdown_classes(spark):
+    from filelake.operators import markdown as M
+
+    kinds = [
+        ("# A", "atx"), ("####### b", "text"), ("#c", "text"), ("# #", "atx"), ("  - x", "list"), ("12) y", "list"), ("1234567890. y", "text"), ("*no", "text"), ("* * *", "rule"), ("*_*", "rule"), ("-*-", "text"),
+        ("> q", "quote"), ("title", "text"), ("===", "setext"), ("", "blank"), ("---", "rule"), ("| a | b |", "text"), ("|:-|-:|", "table_sep"), ("|::|-|", "text"), ("\t~~~ x", "fence_open"), ("# in", "code"), ("```", "code"), ("~~~", "fence_close"), ("-", "text"),
+    ]
+    blocks = M.md_blocks(spark.createDataFrame([(1, k, t) for k, (t, _) in enumerate(kinds, 1)], "file_id long, line_no long, text string"))
+    assert [r["class"] for r in blocks.orderBy("line_no").collect()] == [k for _, k in kinds]
+    assert [(r.level, r.text) for r in M.md_outline(blocks).orderBy("line_no").collect()] == [(1, "A"), (1, "#"), (1, "title")]
+
+
+def test_corrupt_archives_stay_as_rows(spark):
+    import io
+    import zipfile
+
+    from filelake.operators import readers
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("bad.zip", b"PK\x03\x04broken")
+        z.writestr("a.txt", b"x")
+    found = readers.expand_nested(spark.createDataFrame([(1, "f.zip", buffer.getvalue())], "file_id long, name string, content binary")).collect()
+    assert sorted((r.depth, r.path or "", r.error is not None) for r in found) == [(0, "", False), (1, "a.txt", False), (1, "bad.zip", False), (2, "", True)]
+
+
+def test_office_texts_are_extracted(spark):
+    from filelake.operators import readers
+    from filelake.plans.documents import _parts, _zip
+
+    rows = [(1, "p.docx", _zip(_parts([3], ["a <b>"]))), (2, "q.docx", b"PK\x03\x04 broken package"), (3, "n.txt", b"one\ntwo")]
+    found = readers.extract_all(spark.createDataFrame(rows, "file_id long, name string, content binary")).collect()
+    texts = lambda k: [r.text for r in sorted(found, key=lambda r: r.seq) if r.file_id == k]
+    assert texts(1) == ["a <b>    L3", "cell", "a <b>\n3", "H3", "a <b>  x", "item", "a <b>\t300%\ti3"]
+    assert texts(2)[0] is None and "broken package" in " ".join(texts(2)[1:]) and texts(3) == ["one", "two"]
