@@ -13,13 +13,40 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (tests on one machine) the session gets a temporary one.
+    Where the setting is missing, a session on one machine gets a temporary one, a cluster an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="filelake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/filelake-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Folders that this process has asked for and not dropped.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many folders there are, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Drop the folders made after ``since``: what has been read from them must be written elsewhere by then."""
+    for path in _made[since:]:
+        if not keep.startswith(path):
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Drop one folder of intermediate data."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -27,10 +54,21 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_dir(spark)
     schema = df.schema
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(rows: DataFrame, width: int | str) -> DataFrame:
+    """Marked for broadcast up to ``BROADCAST_BYTES``, at ``width`` bytes a row (or a column of them); joined by hash beyond that."""
+    rows = materialise(rows)
+    size = rows.agg(F.sum(F.lit(width) if isinstance(width, int) else F.expr(width))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,12 +82,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Connected components of an undirected edge list: columns ``id``, ``component`` (smallest id).
 
     Alternating large-star and small-star rounds. Each round groups by node with map-side
-    combining and writes its edges to the shared folder, so a lost executor costs one round
-    and no node's neighbours are ever gathered in one place. Only ids that occur in an edge
+    combining and writes its edges to the shared folder, so a lost executor costs one round.
+    A node's neighbours are joined with its smallest one by hash; Spark splits such a join where a
+    node has very many. Only ids that occur in an edge
     are returned; null ids and self-loops are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialise(e)
+    spark, table = edges.sparkSession, shared_dir(edges.sparkSession)
+    e = materialise(e, table)
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node links to the node's smallest neighbour
@@ -64,7 +104,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .where("u <> v")
             .distinct()
         )
-        e = materialise(e)
+        e, last, table = materialise(e, fresh := shared_dir(spark)), table, fresh
+        discard(spark, last)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
         if now == seen:
             break
