@@ -25,6 +25,8 @@ MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 #: Bytes first read for a header block, and its greatest length; the writer refuses a longer one, the reader takes it for damage.
 HEADER_STEP, MAX_HEADER = 65_536, 64 << 20
+#: The greatest length of a block, likewise: more than a Spark row of two gigabytes takes anyway.
+MAX_BLOCK = (1 << 31) - MAX_HEADER
 
 
 def sha1_base32(data: bytes) -> str:
@@ -43,6 +45,8 @@ def record(kind: str, record_id: str, payload: bytes, digest: str, uri: str = ""
         fields += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     headers = "WARC/1.1\r\n".encode() + "\r\n".join(fields).encode() + CRLF * 2
+    if len(block) > MAX_BLOCK:
+        raise ValueError(f"the block of {record_id} has {len(block)} bytes; {MAX_BLOCK} can be read")
     if len(headers) > MAX_HEADER:
         raise ValueError(f"headers of {record_id} have {len(headers)} bytes; {MAX_HEADER} can be read")
     return headers + block + CRLF * 2
@@ -92,7 +96,10 @@ class _Window:
 
 
 def _parse(data: bytes) -> tuple[dict | None, int, str]:
-    """The record at the start of ``data``: (fields, its length with the closing lines, reason of failure)."""
+    """The record at the start of ``data``: (fields, its length with the closing lines, reason of failure).
+
+    A failed record has a length where its own leads to the closing lines, or, if truncated, might.
+    """
     if not data.startswith(VERSION):
         return None, 0, "no version line"
     stop = data.find(CRLF * 2, 0, MAX_HEADER)
@@ -109,6 +116,8 @@ def _parse(data: bytes) -> tuple[dict | None, int, str]:
     if not size.isascii() or not size.isdigit():
         return None, 0, "no content length"
     end = stop + 4 + int(size)
+    if int(size) > MAX_BLOCK:
+        return None, 0, "block too long"
     if len(data) < end + 4:
         return None, end + 4, "truncated block"
     if data[end : end + 4] != CRLF * 2:
@@ -116,7 +125,7 @@ def _parse(data: bytes) -> tuple[dict | None, int, str]:
     head, gap, payload = data[stop + 4 : end].partition(CRLF * 2)
     if fields.get("content-type", "").startswith("application/http"):
         if not gap:
-            return None, 0, "no HTTP head"
+            return None, end + 4, "no HTTP head"
         for line in head.split(CRLF)[1:]:
             name, _, value = line.partition(b":")
             if name.strip().lower() == b"content-length" and value.strip().isdigit():
@@ -128,7 +137,7 @@ def _parse(data: bytes) -> tuple[dict | None, int, str]:
     if fields.get("warc-type") != "revisit":
         found = sha1_base32(payload)
         if digest and digest != found:
-            return None, 0, "payload digest mismatch"
+            return None, end + 4, "payload digest mismatch"
         digest = found
     fields["digest"] = digest
     return fields, end + 4, ""
@@ -156,8 +165,9 @@ def _member_at(window: _Window, at: int) -> tuple[bytes | None, int, str]:
 def salvage(stream):
     """Yield ('record', offset, length, reason, fields) and ('gap', offset, length, reason, None) of an archive.
 
-    The file may be plain or compressed record by record, and may change between the two. Memory
-    is one record and a window of about a megabyte.
+    The file may be plain or compressed record by record, and may change between the two. A damaged
+    record whose own length still leads to its end goes as a whole. Memory is one record, or as many bytes as
+    a damaged length promises (``MAX_BLOCK`` at most, the rest of the file at most), and a window of about a megabyte.
     """
     window, at, bad, why = _Window(stream), 0, -1, ""
 
@@ -170,9 +180,9 @@ def salvage(stream):
             while data is not None and 0 <= pos < len(data):
                 fields, size, failed = _parse(data[pos:] if pos else data)
                 if fields is None:
-                    # the member's checksum is right: go on at its next version line
+                    # the member's checksum is right: go on behind the record, else at its next version line
                     reason = reason or failed
-                    pos = data.find(VERSION, pos + 1)
+                    pos = data.find(VERSION, pos + (size if size and failed != "truncated block" else 1))
                     continue
                 found.append(fields)
                 pos += size
@@ -188,6 +198,8 @@ def salvage(stream):
                 fields, size, reason = _parse(window.get(at, at + size))
             ok, end = fields is not None, at + size
             found = [fields] if ok else []
+            # a record whose length holds is damaged as a whole: what its payload quotes is no record
+            after = at + size if size and reason != "truncated block" else after
         else:
             ok, reason, after = False, "no record here", at + 1
         if ok:
@@ -222,7 +234,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     the others revisit it (rows that repeat that key too are responses); null payloads are empty,
     a null key never is the response of others. Digests are grouped with map-side combining and
     joined back by an outer join that Spark may split where one payload is very common. Files
-    get their final name only when whole, by partition, so that a retried task replaces its own.
+    get their final name only when whole, with the attempt in it: the manifest lists those of the
+    attempt that counts, so neither a retried nor a second attempt changes what is read.
     """
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
@@ -237,15 +250,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
         def close():
             out.close()
-            store.move(f"{root}/{name}.{task.taskAttemptId()}.tmp", f"{root}/{name}")
+            store.move(f"{root}/{name}.tmp", f"{root}/{name}")
             return pa.RecordBatch.from_pylist([{"file": name, "records": n, "bytes": size}], schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
         for batch in batches:
             for k in range(batch.num_rows):
                 page, url, html, first = (batch.column(c)[k].as_py() for c in range(4))
                 if out is None:
-                    name, n, size, number = f"part-{part:06d}-{number:04d}.warc.gz", 0, 0, number + 1
-                    out = store.open_output_stream(f"{root}/{name}.{task.taskAttemptId()}.tmp")
+                    name, n, size, number = f"part-{part:06d}-{number:04d}-{task.taskAttemptId()}.warc.gz", 0, 0, number + 1
+                    out = store.open_output_stream(f"{root}/{name}.tmp")
                 payload = html.encode()
                 revisit = first is not None and first != page
                 data = member(record("revisit" if revisit else "response", f"urn:page:{page}", payload, sha1_base32(payload), url or "", f"urn:page:{first}"))
@@ -312,4 +325,8 @@ def op3_warc(spark, sf_dir):
 
 
 QUERIES = {"op3_warc": op3_warc}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """with p as (select page_id, coalesce(html, '') as t from pages), q as (select page_id, octet_length(encode(t)) as n, sha1(t) as h, min(page_id) over (partition by t) as first from p)
+select page_id, cast(n as bigint) as payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, cast(5 * (i // 4) + 1 as int), 5))::int >> cast(15 - 5 * (i % 4) as int)) & 31) + 1)::int, 1)), '') as payload_digest,
+ case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from q"""
+}
