@@ -207,4 +207,12 @@ def op1_chat_formatting(spark, sf_dir):
 
 
 QUERIES = {"op1_chat_formatting": op1_chat_formatting}
-ORACLES: dict[str, str] = {}
+#: Every control string, and every backslash, is written with one character more.
+_LONGER = r"length(regexp_replace({0}, '\\|<</?SYS>>|\[/?INST\]|\[/?ROLE\]|</?s>', '\0+', 'g'))"
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, k, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) t(k, r))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ cast(sum({_LONGER.format('text')} + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 17 + {_LONGER.format('role')} end) as bigint) as formatted_chars from c group by conv_id"""
+}
