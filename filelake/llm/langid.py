@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table, texts
 
+#: Languages in one mask word; positions of a filter by their logarithm, at least and at most.
+WORD, BITS = 63, (20, 24)
 #: Multipliers of the position hashes: odd 64-bit constants.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -71,23 +73,31 @@ def positions(packed: np.ndarray, k: int, bits: int) -> list[np.ndarray]:
 
 
 class BitSlicedFilter:
-    """Language bitmasks by position; bit l of all positions is the Bloom filter of language l."""
+    """Language bitmasks by position, in words of ``WORD`` languages; bit l of all positions is the Bloom filter of language l."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, n: int, k: int, prior: list[float]):
         self.languages, self.masks, self.n, self.k = languages, masks, n, k
-        self.bits = int(len(masks)).bit_length() - 1
-        self.false_positive = np.array([((masks >> np.array(i, masks.dtype)) & 1).mean() ** k for i in range(len(languages))])
+        self.bits = int(masks.shape[1]).bit_length() - 1
+        self.false_positive = np.array([self.holds(masks, i).mean() ** k for i in range(len(languages))])
         self.prior = np.array(prior)
 
+    @staticmethod
+    def holds(masks: np.ndarray, i: int) -> np.ndarray:
+        """Bit of language i in each column."""
+        return (masks[i // WORD] >> np.array(i % WORD, masks.dtype)) & 1
+
+    def lookup(self, packed: np.ndarray) -> np.ndarray:
+        """Masks (words by n-grams) of the languages that may hold each n-gram."""
+        at = positions(packed, self.k, self.bits)
+        return np.bitwise_and.reduce([self.masks[:, x] for x in at])
+
     def predict(self, parts: list[str]) -> tuple[list[str], list[float]]:
         packed, owner, letters = grams(parts, self.n)
-        mask = None
-        for at in positions(packed, self.k, self.bits):
-            mask = self.masks[at] if mask is None else mask & self.masks[at]
+        mask = self.lookup(packed)
         total = np.bincount(owner, minlength=len(parts)).astype(float)
         votes = np.zeros((len(parts), len(self.languages)))
         for i, f in enumerate(self.false_positive):
-            hits = np.bincount(owner, ((mask >> np.array(i, mask.dtype)) & 1), minlength=len(parts)) if mask is not None else total * 0
+            hits = np.bincount(owner, self.holds(mask, i), minlength=len(parts))
             votes[:, i] = np.clip((hits - total * f) / max(1 - f, 1e-9), 0, None)
         votes += 1e-9 * self.prior  # without any vote the more common language
         best = votes.argmax(1)
@@ -139,20 +149,19 @@ def count_grams(train: DataFrame, n: int = 3, text: str = "text", lang: str = "l
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, n: int = 3, k: int = 3, bits: int = 20, share: float = 0.2, least: int = 2, text: str = "text", lang: str = "lang") -> BitSlicedFilter | None:
+def fit(train: DataFrame, n: int = 3, k: int = 3, share: float = 0.2, least: int = 2, text: str = "text", lang: str = "lang") -> BitSlicedFilter | None:
     """Learn the filters from all rows of ``train``; None if there are none.
 
     A language's filter takes an n-gram if it occurs ``least`` times there and at least
     ``share`` as often, per n-gram of the language, as in the language where it is most
-    frequent: foreign passages don't fill the filters. What reaches the driver is at most
-    2**bits positions and one count per language, whatever the size of the corpus.
+    frequent: foreign passages don't fill the filters. There are twice as many positions as
+    n-grams set, within ``BITS``; what reaches the driver is at most so many and one count per
+    language, whatever the size of the corpus. Fuller filters are corrected for, not cut.
     """
     counts = count_grams(train, n, text, lang)
     counts = counts.cache()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > 63:
-        raise ValueError("one mask holds 63 languages")
     if not languages:
         counts.unpersist()
         return None
@@ -160,21 +169,24 @@ def fit(train: DataFrame, n: int = 3, k: int = 3, bits: int = 20, share: float =
     dim = spark.createDataFrame([(name, i, float(totals[name])) for i, name in enumerate(languages)], "lang string, bit int, total double")
     rated = counts.where(F.col("n") >= least).join(F.broadcast(dim), "lang").withColumn("rate", F.col("n") / F.col("total"))
     per_gram = rated.groupBy("gram").agg(F.collect_list(F.struct("rate", "bit")).alias("by"), F.max("rate").alias("top"))
-    masks = per_gram.select(
-        "gram", F.expr(f"aggregate(filter(by, x -> x.rate >= {share} * top), 0L, (a, x) -> a | shiftleft(1L, x.bit))").alias("mask")
+    words = -(-len(languages) // WORD)
+    mine = f"filter(by, x -> x.rate >= {share} * top and x.bit div {WORD} = word)"
+    masks = per_gram.withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(words - 1)))).select(
+        "gram", "word", F.expr(f"aggregate({mine}, 0L, (a, x) -> a | shiftleft(1L, cast(x.bit % {WORD} as int)))").alias("mask")
     )
+    bits = int(np.clip(np.ceil(np.log2(2 * k * max(per_gram.count(), 1))), *BITS))
 
     def place(batches):
         for batch in batches:
             at = positions(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), k, bits)
-            mask = batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.tile(mask, k))], ["at", "mask"])
+            word, mask = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(word, k)), pa.array(np.concatenate(at)), pa.array(np.tile(mask, k))], ["word", "at", "mask"])
 
-    sliced = masks.mapInArrow(place, "at long, mask long").groupBy("at").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    sliced = masks.where("mask <> 0").mapInArrow(place, "word int, at long, mask long").groupBy("word", "at").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     counts.unpersist()
     kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-    out = np.zeros(1 << bits, kind)
-    out[sliced.column("at").to_numpy()] = sliced.column("mask").to_numpy().astype(kind)
+    out = np.zeros((words, 1 << bits), kind)
+    out[sliced.column("word").to_numpy(), sliced.column("at").to_numpy()] = sliced.column("mask").to_numpy().astype(kind)
     whole = sum(totals.values())
     return BitSlicedFilter(languages, out, n, k, [totals[x] / whole for x in languages])
 
