@@ -136,12 +136,17 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, fea
 def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 500) -> tuple[np.ndarray, float]:
     """L1 logistic regression by accelerated proximal gradient; the bias isn't penalised."""
     n, m = r.shape
-    a = np.c_[r, np.ones(n)]
-    step = 4 * n / max(np.linalg.norm(a, 2) ** 2, 1e-12)
+    a = r.astype(np.float32)
+    times = lambda v: (a @ v[:m].astype(np.float32)).astype(float) + v[m]
+    back = lambda z: np.r_[(z.astype(np.float32) @ a).astype(float), z.sum()]
+    top = np.ones(m + 1)
+    for _ in range(50):  # power iteration for the largest singular value
+        top = back(times(top / np.linalg.norm(top)))
+    step = 3.9 * n / max(np.linalg.norm(top), 1e-12)
     w = v = np.zeros(m + 1)
     t = 1.0
     for _ in range(steps):
-        g = a.T @ (1 / (1 + np.exp(-np.clip(a @ v, -30, 30))) - y) / n
+        g = back(1 / (1 + np.exp(-np.clip(times(v), -30, 30))) - y) / n
         u = v - step * g
         u[:m] = np.sign(u[:m]) * np.maximum(np.abs(u[:m]) - step * penalty, 0)
         t, s = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -160,9 +165,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, d
         for rule in grow(x[rows], y[rows], rng, depth, max(3, x.shape[1] // 2), max(5, len(rows) // 500)):
             rules.setdefault(rule.terms, rule)
     kept = list(rules.values())
-    r = np.stack([rule.on(x) for rule in kept], 1).astype(float)
-    _, first = np.unique(r, axis=1, return_index=True)  # rules that say the same on all rows count once
-    kept, r = [kept[k] for k in sorted(first)], r[:, sorted(first)]
+    by_rows: dict[bytes, Rule] = {}
+    for rule in kept:  # rules that say the same on all rows count once
+        by_rows.setdefault(np.packbits(rule.on(x)).tobytes(), rule)
+    kept = list(by_rows.values())
+    r = np.unpackbits(np.frombuffer(b"".join(by_rows), np.uint8).reshape(len(kept), -(-len(x) // 8)), axis=1, count=len(x)).T
     w, bias = lasso(r, y.astype(float), penalty)
     on = np.flatnonzero(np.abs(w) > 1e-6)
     return RuleModel(names, [kept[k] for k in on], [float(w[k]) for k in on], bias)
