@@ -294,3 +294,139 @@ def test_pipeline(spark, sf_dir):
     rows = out.select("doc_id", "n_tokens").collect()
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert rows and {r.doc_id for r in rows} < ids and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_warc_quoted_records_and_wrong_lengths():
+    quoted = warc.record("response", "urn:page:99", b"quoted", warc.sha1_base32(b"quoted"))
+    payloads = [b"first", b"<pre>" + quoted + b"</pre>", b"third" * 1000, b"last"]
+    recs = [warc.record("response", f"urn:page:{k}", p, warc.sha1_base32(p)) for k, p in enumerate(payloads)]
+    read = lambda b: [(k, f and f["warc-record-id"]) for k, _, _, _, f in warc.salvage(io.BytesIO(b))]
+    ids = [("record", f"<urn:page:{k}>") for k in range(4)]
+    bad = recs[1].replace(b"</pre>", b"</prE>")
+    for parts in ([recs[0], bad, *recs[2:]], [warc.member(r) for r in (recs[0], bad, *recs[2:])]):
+        assert read(b"".join(parts)) == [ids[0], ("gap", None), *ids[2:]]
+    wrong = recs[2].replace(b"Content-Length: 50", b"Content-Length: 95", 1)
+    assert wrong != recs[2] and read(recs[0] + recs[1] + wrong + recs[3]) == [*ids[:2], ("gap", None), ids[3]]
+    assert read(b"".join(recs).replace(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:2>", b"WARC/1.1\r\ntorn" * 400_000)) == [*ids[:2], ("gap", None), ids[3]]
+
+
+def test_warc_empty_table_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "a", "x", "y"), (1, "u", "a", "x", "y"), (None, "u", "a", "x", "y")], "page_id long, url string, html string, sha string, first string")
+    for rows in (pages, pages.where("false")):
+        path = common.shared_dir(spark)
+        got = warc.read_archives(spark, path, warc.write_archives(rows, path)).where("kind = 'record'").collect()
+        assert len(got) == rows.count()
+
+
+def test_language_filters_hold_their_ngrams(spark):
+    rnd = random.Random(9)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 700)]
+    alphabet = {f"l{k:02d}": letters[10 * k : 10 * k + 10] for k in range(70)}
+    say = lambda name: " ".join("".join(rnd.choices(alphabet[name], k=5)) for _ in range(60))
+    rows = [(k, say(name), name) for k, name in enumerate([*alphabet] * 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(alphabet) and model.masks.shape[0] == 2
+    counts = {}
+    for _, text, name in rows:
+        for g in langid.grams([text], 3)[0].tolist():
+            counts[g, name] = counts.get((g, name), 0) + 1
+    held = [(g, model.languages.index(name)) for (g, name), n in counts.items() if n >= 2]
+    masks = model.lookup(np.array([g for g, _ in held], np.uint64))
+    assert all(model.holds(masks[:, [j]], i)[0] for j, (_, i) in enumerate(held))  # no n-gram of a filter is missed
+    other = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(1 << 44)
+    found = model.lookup(other)
+    rates = np.array([model.holds(found, i).mean() for i in range(70)])
+    assert abs(rates.mean() - model.false_positive.mean()) < 1e-3
+    fresh = spark.createDataFrame([(k, say(name), name) for k, name in enumerate(alphabet)], "doc_id long, text string, name string")
+    assert langid.identify(fresh, model, also=("name",)).where("name <> lang_pred").count() == 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    import regex
+
+    rnd, words, units = random.Random(12), "train leaves early walks home buys bread counts apples table river city green stone".split(), ["km", "kg", "hours"]
+    names = ["Anna", "Berta", "Carl", "Dora"]
+
+    def sentence():
+        kind = rnd.random
+        return " ".join(str(rnd.randrange(2, 99)) + (" " + rnd.choice(units) if kind() < 0.4 else "") if kind() < 0.2 else "then " + rnd.choice(names) if kind() < 0.15 else rnd.choice(words) for _ in range(rnd.randrange(8, 30)))
+
+    def renamed(text, consistent):
+        table = {}
+        swap = lambda m: table.setdefault(m[0], str(rnd.randrange(100, 999))) if consistent else str(rnd.randrange(100, 103))
+        return re.sub(r"\b\d+\b", swap, text)
+
+    items = [(k, sentence()) for k in range(25)]
+    items += [(90, "tiny item"), (91, None), (92, "12 13 14 15 16 17")]
+    docs = [(k, sentence()) for k in range(40)]
+    for k, text in items[:25]:
+        docs += [(1000 + k, f"{sentence()} {text} {sentence()}"), (2000 + k, f"so {renamed(text, True)} end"), (3000 + k, renamed(text, False)), (4000 + k, " ".join(text.split()[: len(text.split()) * 2 // 3]))]
+    docs += [(5000, None), (5001, ""), (1000, "same key twice")]
+
+    def tokens(rows):
+        df = spark.createDataFrame(rows, "key long, text string").where("text is not null").withColumn("spaced", decontam._spaced(F.col("text")))
+        return [(r.key, r.tok, r.raw) for r in df.select("key", F.split(decontam.template(F.col("spaced")), " ").alias("tok"), F.split("spaced", " ").alias("raw")).collect()]
+
+    slots, bare = {decontam.NUMBER, decontam.NAME, decontam.UNIT}, lambda x: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", x)
+    found = {}
+    for item, tok, raw in tokens(items):
+        starts = [a for a in range(len(tok) - 4) if sum(t not in slots and t != "" for t in tok[a : a + 5]) >= 2]
+        n = len({tuple(tok[a : a + 5]) for a in starts})
+        covered: dict = {}
+        for doc, dtok, draw in tokens(docs):
+            for d in range(-len(tok), len(dtok)):
+                hits = [a for a in starts if 0 <= a + d <= len(dtok) - 5 and dtok[a + d : a + d + 5] == tok[a : a + 5]]
+                pairs = {(bare(raw[a + j]), bare(draw[a + d + j])) for a in hits for j in range(5) if tok[a + j] in slots}
+                if hits and len({i for i, _ in pairs}) == len(pairs) == len({v for _, v in pairs}):
+                    same = all(i == v for i, v in pairs)
+                    for a in hits:
+                        w = tuple(tok[a : a + 5])
+                        covered.setdefault(doc, {})[w] = covered.get(doc, {}).get(w, False) or same
+        found |= {(doc, item): (n, len(w), min(w.values())) for doc, w in covered.items() if len(w) >= 0.8 * n}
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.exact) for r in got} == found
+    assert {(1000 + k, k) for k in range(25)} <= set(found) and any(not x[2] for x in found.values())
+
+
+def test_line_dedup_recall(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rnd = random.Random(14)
+    vocabulary = [w for r in docs.limit(20).collect() for w in (r.text or "").split()]
+    planted = []
+    for k in range(300):
+        line = rnd.choices(vocabulary, k=14)
+        near = [*line]
+        near[rnd.randrange(14)] = rnd.choice(vocabulary)
+        planted += [(10**6 + 2 * k, " ".join(line)), (10**6 + 2 * k + 1, " ".join(near))]
+    docs = docs.union(spark.createDataFrame(planted, "doc_id long, text string")).repartition(4)
+    gone = {(r.doc_id, n) for r in linededup.removed_lines(docs).collect() for n in r.line_nos}
+    lines = linededup.lines_of(docs, "doc_id", "text", 5).where(linededup.has_words(F.col("norm"), 5)).where(F.length("norm") < 400)
+    first = lines.groupBy("norm").agg(F.min(F.struct("key", "line_no")).alias("at"), F.length("norm").alias("n"))
+    first = common.materialise(first)
+    other = first.toDF("b", "at_b", "m")
+    near = first.join(other, (F.col("at") < F.col("at_b")) & (F.abs(F.col("n") - F.col("m")) <= linededup.allowed(F.col("n"), F.col("m"), 0.8)))
+    pairs = near.where("levenshtein(norm, b, cast(floor(0.2 * greatest(n, m) + 1e-9) as int)) >= 0").select("at_b.key", "at_b.line_no").collect()
+    own, made = ([(r.key, r.line_no) in gone for r in pairs if (r.key >= 10**6) == x] for x in (False, True))
+    print(f"recall: {sum(own)} of {len(own)} pairs of the corpus, {sum(made)} of {len(made)} planted")
+    assert sum(own) >= 0.9 * len(own) and sum(made) >= 0.95 * len(made) and len(made) > 250
+
+
+def test_pipeline_stages_on_hard_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    texts = [t for _, t, _ in HARD] + ["tie of two rows that are the same in each of their words"] * 2
+    rows = [(None if k == 5 else k, t, "en", None if k == 2 else "web", len(t or ""), 7, "clash", 0.5) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed long, ids string, score double"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir).collect()
+            assert len(out) <= n
+            if name != "bpe_encoding" and out:
+                assert list(out[0].asDict()) == docs.columns
+            if name == "ngram_jaccard" and n:
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 0), (False, 1), (False, 2), (False, 3), (False, 4), (False, 7), (True, 0)]
+            if name == "benchmark_decontamination":
+                assert len(out) == n
+            if name == "bpe_encoding":
+                assert len(out) == n and all(r.n_tokens == len(r.ids) for r in out)
