@@ -18,10 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, materialise, small, table
 
 #: Frequent shingles kept in memory at most: 16 bytes each.
 MAX_FREQUENT = 1 << 21
+#: Tokens that a pair must share under the first order, where the sizes of its sets allow to ask for so many: more
+#: of them leave fewer pairs to verify, but make a row each.
+SHARED = 1
+#: Sets that share a token beyond which it counts as crowded.
+CROWDED = 16
 #: Documents that may be broadcast to fetch their texts: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -140,6 +145,18 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, sig long")
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """(sig, n): the most frequent shingles by powers of two, ``MAX_FREQUENT`` of them at most."""
+    summed = materialise(counts.groupBy("sig").agg((-F.sum("n")).alias("n")).where("n >= 4"))
+    floor, room = 1 << 62, MAX_FREQUENT
+    for level, n in sorted(map(tuple, summed.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        floor = 1 << level
+    return summed.where(F.col("n") >= floor)
+
+
 class Orders:
     """Rank of shingles under each order: how frequent, then a hash; frequent ones are in a sorted table."""
 
@@ -149,15 +166,16 @@ class Orders:
         self.level = np.clip(np.log2(np.maximum(counts[by], 1)).astype(np.int64), 1, 62)
 
     def prefix(self, s: np.ndarray, order: int, length: int) -> np.ndarray:
-        """The first ``length`` shingles of a set under an order."""
+        """The first ``length`` shingles of a set under an order, in that order."""
         h = mix(s, 4 + order) >> np.uint64(6)
         if len(self.shingles):
             at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
             level = np.where(self.shingles[at] == s, self.level[at], 0).astype(np.uint64)
             h |= level << np.uint64(58)
-        if length >= len(s):
-            return s
-        return s[np.argpartition(h, length - 1)[:length]]
+        if length < len(s):
+            first = np.argpartition(h, length - 1)[:length]
+            s, h = s[first], h[first]
+        return s[np.argsort(h)]
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, t_num: int = 4, t_den: int = 5) -> DataFrame:
@@ -172,10 +190,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     both = materialise(_summaries(src, width))
     own = both.where("n >= 0")
     sets = own.where("key is not null and n > 0")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    floor = max(16, total // MAX_FREQUENT)
-    # at most total / floor shingles reach this count, so the table is bounded
-    frequent = both.where("n < 0").groupBy("sig").agg((-F.sum("n")).alias("n")).where(F.col("n") >= floor).toArrow()
+    frequent = _frequent(both.where("n < 0")).toArrow()
     orders = src.sparkSession.sparkContext.broadcast(
         Orders(frequent.column("sig").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
     )
@@ -193,7 +208,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _prefixes(src: DataFrame, orders, width: int, t_num: int, t_den: int) -> DataFrame:
-    """(token, sig, n): prefix tokens of every set under the first order, once per set and task."""
+    """(token, sig, n, pos): prefix tokens of every set under the first order and their places from 0, once per set and task."""
 
     def run(batches):
         shingler, seen = Shingler(width), set()
@@ -213,42 +228,59 @@ def _prefixes(src: DataFrame, orders, width: int, t_num: int, t_den: int) -> Dat
                 sizes.append(len(s))
                 lengths.append(len(p))
             if tokens:
-                columns = [np.concatenate(tokens).view(np.int64), *(np.repeat(np.array(x, np.int64), lengths) for x in (sigs, sizes))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sig", "n"])
+                places = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                columns = [np.concatenate(tokens).view(np.int64), *(np.repeat(np.array(x, np.int64), lengths) for x in (sigs, sizes)), places]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sig", "n", "pos"])
 
-    return src.select("text").mapInArrow(run, "token long, sig long, n long")
+    return src.select("text").mapInArrow(run, "token long, sig long, n long, pos int")
 
 
 def _live_postings(prefixes: DataFrame) -> DataFrame:
-    """(token, sig, n, lead, lead_n) for tokens that two sets or more have; the lead is one of them.
+    """(token, sig, n, before, after, crowded, lead...) for tokens that two sets or more have; the lead is one of them.
 
-    One shuffle by token; windows stream or spill, no token's sets are gathered in memory. The lead
-    is the first by a hash, so most tokens of a group of near copies have the same.
+    ``before`` counts tokens of a set that come earlier in the order and are here too, ``after`` all that come later.
+    Windows stream or spill, no token's sets are gathered in memory. The lead is the set of which the largest
+    share of tokens is here at all: the text that others were made from, if it is there. A token is
+    crowded if more than ``CROWDED`` sets have it.
     """
     w = Window.partitionBy("token")
-    by = w.orderBy(F.xxhash64("sig"), "sig")
-    led = prefixes.withColumns({"lead": F.first("sig").over(by), "lead_n": F.first("n").over(by), "before": F.lag("sig").over(by)})
+    by = w.orderBy("sig")
     # equal rows from different tasks stand side by side in this order
-    led = led.where("before is null or before <> sig").drop("before")
-    return materialise(led.withColumn("sets", F.count("*").over(w)).where("sets > 1").drop("sets"))
+    once = prefixes.withColumn("before", F.lag("sig").over(by)).where("before is null or before <> sig").drop("before")
+    live = materialise(once.withColumn("sets", F.count("*").over(w)).where("sets > 1"))
+    own = Window.partitionBy("sig")
+    placed = live.withColumns({"before": F.row_number().over(own.orderBy("pos", "token")) - 1, "share": F.count("*").over(own) / F.col("n"), "after": F.col("n") - F.col("pos") - 1})
+    first = w.orderBy(F.desc("share"), F.xxhash64("sig"), "sig")
+    lead = [F.first(c).over(first).alias(f"lead_{c}") for c in ("n", "before", "after")]
+    return materialise(placed.select("token", "sig", "n", "before", "after", (F.col("sets") > CROWDED).alias("crowded"), F.first("sig").over(first).alias("lead"), *lead))
 
 
 def _links(src: DataFrame, postings: DataFrame, reps: DataFrame, orders, width: int, t_num: int, t_den: int) -> DataFrame:
     """Linked pairs (a, b) of sets by signature, enough to connect every component.
 
-    First each set is compared with the leaders of its tokens. Sets that this puts into their
+    First each set is compared with the leader of most of its tokens. Sets that this puts into the
     leader's group need no more comparisons there; all others are compared with every set of
     another group that shares enough tokens with them: no link between groups is lost, and a
-    large group of near copies costs a few comparisons a member.
+    large group of near copies costs one comparison a member. Pairs must show the first ``SHARED`` of
+    all the tokens that they share, and are made from a token only if its places leave room for
+    enough others: earlier ones that both share are prefix tokens of both, so they are here. Pairs
+    are made from a crowded token only if both prefixes hold so many crowded ones that these could
+    be enough; else what the others must show is greater by that number.
     """
     sized = lambda a, b: F.least(a, b) * t_den >= F.greatest(a, b) * t_num
+    ceil = lambda x, d: f"(({x}) * {t_num} + {d} - 1) div {d}"
+    both = lambda x, y: F.expr(ceil(f"{x} + {y}", t_num + t_den))  # noqa: E731  tokens that similar sets of these sizes share
+    least = lambda x, y: F.expr(f"greatest(1, least({SHARED}, {ceil(f'{x} + {y}', t_num + t_den)} - {ceil(f'greatest({x}, {y})', t_den)} + 1))")
+    # of a similar pair's shared tokens, the first ``least`` have all others behind them; and what both
+    # may share before a shared token, the token, and what may follow it must be enough
+    possible = lambda n, b, a, m, c, d: (F.least(a, d) >= both(n, m) - least(n, m)) & (F.least(b, c) + 1 + F.least(a, d) >= both(n, m))
     pair = lambda a, n, b, m: [
         F.least(a, b).alias("a"), F.when(F.col(a) < F.col(b), F.col(n)).otherwise(F.col(m)).alias("na"),
         F.greatest(a, b).alias("b"), F.when(F.col(a) < F.col(b), F.col(m)).otherwise(F.col(n)).alias("nb"),
     ]
-    stars = materialise(
-        postings.where("sig <> lead").where(sized("n", "lead_n")).select(*pair("sig", "n", "lead", "lead_n")).distinct()
-    )
+    led = postings.where("sig <> lead").where(sized("n", "lead_n") & possible("n", "before", "after", "lead_n", "lead_before", "lead_after")).groupBy("sig", "n", "lead", "lead_n").count()
+    led = led.groupBy("sig", "n").agg(F.max(F.struct("count", "lead", "lead_n")).alias("best")).select("sig", "n", "best.*")
+    stars = materialise(led.select(*pair("sig", "n", "lead", "lead_n")).distinct())
     members = postings.select("sig").distinct().join(reps, "sig")
     # two bytes of each token: what is equal stays equal, so that no pair is lost, and few others pass
     second = materialise(
@@ -257,20 +289,24 @@ def _links(src: DataFrame, postings: DataFrame, reps: DataFrame, orders, width:
     exact = lambda pairs: _verified(src, _sharing(pairs, second, np.uint16, lambda x, y: least_shared(x, y, t_num, t_den)), reps, width, t_num, t_den)
     first = exact(stars)
     own = components(first).select(F.col("id").alias("sig"), F.col("component").alias("own"))
-    placed = postings.join(own, "sig", "left").join(own.toDF("lead", "led_by"), "lead", "left")
-    placed = materialise(placed.select("token", "sig", "n", F.coalesce("own", "sig").alias("own"), F.coalesce("led_by", "lead").alias("led_by")))
-    outside = placed.where("own <> led_by").select("token", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("own").alias("own2"))
+    held = postings.where("crowded").groupBy("sig").agg(F.count("*").alias("held"))
+    placed = postings.join(own, "sig", "left").join(held, "sig", "left").join(own.toDF("lead", "led_by"), "lead", "left")
+    placed = placed.select("token", "crowded", "sig", "n", "before", "after", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("own", "sig").alias("own"), F.coalesce("led_by", "lead").alias("led_by"))
+    placed = materialise(placed)
+    outside = placed.where("own <> led_by").select("token", *[F.col(c).alias(f"{c}2") for c in ("sig", "n", "before", "after", "held", "own")])
     # every shared prefix token of two groups counts once
     shared = (
         placed.join(outside, "token")
         .where((F.col("own") != F.col("own2")) & sized("n", "n2") & ((F.col("own") == F.col("led_by")) | (F.col("sig") < F.col("sig2"))))
-        .select(*pair("sig", "n", "sig2", "n2"))
-        .groupBy("a", "b", "na", "nb")
+        .where(possible("n", "before", "after", "n2", "before2", "after2"))
+        .where(~F.col("crowded") | (least("n", "n2") <= F.least("held", "held2")))
+        .select(*pair("sig", "n", "sig2", "n2"), F.least("held", "held2").alias("held"))
+        .groupBy("a", "b", "na", "nb", "held")
         .agg(F.count("*").alias("shared"))
     )
-    ceil = lambda x, d: f"(({x}) * {t_num} + {d} - 1) div {d}"
-    enough = shared.where(f"shared >= {ceil('na + nb', t_num + t_den)} - {ceil('greatest(na, nb)', t_den)} + 1")
-    return materialise(first.union(exact(materialise(enough.drop("shared")))))
+    spare = F.when(least("na", "nb") <= F.col("held"), 0).otherwise(F.col("held"))
+    enough = shared.where(F.col("shared") + spare >= least("na", "nb"))
+    return materialise(first.union(exact(materialise(enough.select("a", "na", "b", "nb")))))
 
 
 def _sets(src: DataFrame, members: DataFrame, width: int, part) -> DataFrame:
@@ -328,7 +364,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = similar_documents(docs, key, text)
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return docs.join(small(gone, 16), key, "left_anti").select(*docs.columns)
 
 
 def op7_ngram_jaccard(spark, sf_dir):
@@ -336,4 +372,12 @@ def op7_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) as s from w where len(w) > 0),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ i as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+ p as (select i.a, i.b from i join n x on x.doc_id = i.a join n y on y.doc_id = i.b where 100 * i.i >= 80 * (x.n + y.n - i.i)),
+ r as (select a, b from p union select r.a, p.b from r join p on r.b = p.a), m as (select a as doc_id, min(b) as low from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id from documents d left join n using (doc_id) left join m using (doc_id)"""
+}
