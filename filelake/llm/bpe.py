@@ -196,12 +196,12 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 class WordTokenizer:
     """A vocabulary file with word ends: normalise, cut at special tokens, split into words, encode each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.bpe = BacktrackingBPE(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+        self.bpe = BacktrackingBPE(model["vocab"], merges, model.get("end_of_word_suffix") or "", cache)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(map(regex.escape, longest_first))})") if self.special else None
@@ -257,9 +257,9 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker and file."""
-    return WordTokenizer(path)
+def tokenizer(path: str, cache: int = 300_000) -> WordTokenizer:
+    """One per Python worker and file, with word caches of ``cache`` entries (about half a kilobyte each)."""
+    return WordTokenizer(path, cache)
 
 
 def vocabulary(name: str) -> str:
@@ -269,24 +269,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", text: str = "text") -> DataFrame:
-    """``docs`` with columns ``ids array<int>`` and ``decoded`` added (replaced where they exist).
+def encode_documents(docs: DataFrame, vocab: str = "word_bpe_49k.json", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with columns ``ids array<int>`` and ``decoded`` added (replaced where they exist), without ``text`` if it isn't kept.
 
     Map-only: nothing is shuffled, memory is one Arrow slice of texts and a bounded word cache.
     Null and empty texts give no ids and an empty text; repeated rows are encoded one by one.
     """
     rest = [c for c in docs.columns if c not in ("ids", "decoded")]
     base = docs.select(*rest)
-    schema = base.withColumns({"ids": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("string")}).schema
+    rest = [c for c in rest if keep_text or c != text]
+    schema = base.select(*rest).withColumns({"ids": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("string")}).schema
 
     def run(batches):
-        tok = tokenizer(vocabulary(vocab))
+        # ids and texts go out whole: a smaller cache leaves room for them
+        tok = tokenizer(vocabulary(vocab), 1 << 16)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 ids = [tok.encode(t)[0] for t in texts(part.column(text))]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([tok.decode(i) for i in ids], pa.string())],
+                    [*part.select(rest).columns, pa.array(ids, pa.list_(pa.int32())), pa.array([tok.decode(i) for i in ids], pa.string())],
                     [*rest, "ids", "decoded"],
                 )
 
