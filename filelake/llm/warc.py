@@ -24,7 +24,7 @@ VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 #: Bytes first read for a header block, and its greatest length; the writer refuses a longer one, the reader takes it for damage.
-HEADER_STEP, MAX_HEADER = 65_536, 64 << 20
+HEADER_STEP, MAX_HEADER = 8_192, 64 << 20
 #: The greatest length of a block, likewise: more than a Spark row of two gigabytes takes anyway.
 MAX_BLOCK = (1 << 31) - MAX_HEADER
 
@@ -63,6 +63,7 @@ class _Window:
 
     def __init__(self, stream, step: int = 1 << 20):
         self.stream, self.step, self.base, self.buf, self.over = stream, step, 0, bytearray(), False
+        self.hits: dict[bytes, tuple[int, int]] = {}  # the last hit of a pattern, and up to where it is known
 
     def fill(self, end: int) -> bool:
         while not self.over and self.base + len(self.buf) < end:
@@ -80,14 +81,24 @@ class _Window:
             del self.buf[: upto - self.base]
             self.base = upto
 
+    def _hit(self, what: bytes, start: int) -> int:
+        """The next hit of one pattern in the buffer, or -1; starts only grow, so that no byte is searched twice."""
+        at, upto = self.hits.get(what, (-1, 0))
+        if at < start:
+            begin = max(start, upto)
+            at = self.buf.find(what, begin - self.base)
+            at = at if at < 0 else at + self.base
+            self.hits[what] = (at, at + 1 if at >= 0 else max(begin, self.base + len(self.buf) - len(what) + 1))
+        return at
+
     def find(self, whats: tuple[bytes, ...], start: int) -> int:
         """Offset of the first occurrence of any of ``whats``, or -1; only bytes before it may be dropped."""
         longest = max(map(len, whats))
         while True:
-            hits = [x for x in (self.buf.find(what, start - self.base) for what in whats) if x >= 0]
+            hits = [x for x in (self._hit(what, start) for what in whats) if x >= 0]
             # the patterns share no bytes, so one that is cut off at the end of the buffer begins after every whole hit
             if hits:
-                return self.base + min(hits)
+                return min(hits)
             if self.over:
                 return -1
             start = max(start, self.base + len(self.buf) - longest + 1)
@@ -102,6 +113,11 @@ def _parse(data: bytes) -> tuple[dict | None, int, str]:
     """
     if not data.startswith(VERSION):
         return None, 0, "no version line"
+    # most false heads show in the line behind theirs
+    first = data.find(CRLF, 0, 256) + 2
+    second = data.find(CRLF, first, first + 4096)
+    if second > first > 1 and data.find(b":", first, second) < 0:
+        return None, 0, "malformed header"
     stop = data.find(CRLF * 2, 0, MAX_HEADER)
     if stop < 0:
         torn = any(b":" not in line for line in data[:MAX_HEADER].split(CRLF)[1:-1])
