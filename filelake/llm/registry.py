@@ -1,7 +1,7 @@
 """All corpus queries and their SQL."""
 
-from . import bpe, chat, decontam, fingerprints, langid, linededup, neardup, ngramjoin, quality, warc, wordpiece
+from . import bpe, chat, collocations, decontam, fingerprints, langid, linededup, neardup, ngramjoin, prefixtrie, quality, warc, wordpiece
 
-MODULES = (chat, bpe, warc, quality, linededup, neardup, ngramjoin, langid, decontam, wordpiece, fingerprints)
+MODULES = (chat, bpe, warc, quality, linededup, neardup, ngramjoin, langid, decontam, wordpiece, fingerprints, prefixtrie, collocations)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
