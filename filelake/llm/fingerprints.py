@@ -1,9 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-A text's k-grams of characters get cyclic-polynomial hashes: the hash of 2m characters is that of
-the first m, rotated by m bits, xor that of the next m, so all k-grams are hashed in log2(k) passes
-over an array. Of every window of w successive hashes the smallest is selected, of equal ones the
-rightmost, by minima over 4, 16, ... hashes; selections keep their positions. Two texts that share
+A text's k-grams of characters get rolling hashes, polynomials over GF(2) of 64-bit hashes of the characters: the hash of
+2m characters is that of the first m, shifted by m bits, xor that of the next m, so all k-grams are hashed in log2(k) passes
+over an array. The upper 32 bits count, on which all of up to 32 characters bear. Of every window of w successive hashes the smallest is selected, of equal ones the
+rightmost, by minima over 2, 4, 8, ... hashes; selections keep their positions. Two texts that share
 w + k - 1 characters in a row share a selection, whatever stands around them.
 
 A selection is one long: 32 bits of hash above 31 bits of (2^31 - 1 - position), so that the least
@@ -36,43 +36,43 @@ def _let(value: Column, f) -> Column:
 
 def _joined(h: Column, m: int) -> Column:
     """Hashes of 2m characters from those of m; what stands beyond the end is null."""
-    turned = lambda x: F.shiftleft(x, m).bitwiseOR(F.shiftrightunsigned(x, 64 - m))
-    return F.zip_with(h, F.slice(h, m + 1, 1 << 30), lambda x, y: turned(x).bitwiseXOR(y))
+    return F.transform(h, lambda x, i: F.shiftleft(x, m).bitwiseXOR(F.get(h, i + F.lit(m))))
 
 
 def _hashes(chars: Column, k: int) -> Column:
-    """Hashes of the k-grams of an array of characters, at least one."""
+    """Hashes of the k-grams of an array of characters, at least one; nulls fill the array up to its length."""
     out, size = F.transform(chars, lambda c: F.xxhash64(c)), 1
-    out = _let(out, lambda h: F.concat(h, F.array_repeat(F.lit(0).cast("long"), k - F.size(h))))
+    out = _let(out, lambda h: F.when(F.size(h) >= k, h).otherwise(F.concat(h, F.array_repeat(F.lit(0).cast("long"), k - F.size(h)))))
     while size < k:
         out, size = _let(out, partial(_joined, m=size)), 2 * size
-    return _let(out, lambda h: F.slice(h, 1, F.size(h) - (k - 1)))
+    return out
 
 
-def _least(m: Column, size: int, n: int) -> Column:
-    """Minima over n windows of ``size`` in a row; what stands beyond the end is left out."""
-    return F.transform(m, lambda x, i: F.least(x, *(F.get(m, i + F.lit(j * size)) for j in range(1, n))))
+def _least(m: Column, size: int) -> Column:
+    """Minima of 2 size keys from those of size; what stands beyond the end is left out."""
+    return F.transform(m, lambda x, i: F.least(x, F.get(m, i + F.lit(size))))
 
 
-def _minima(keys: Column, w: int) -> Column:
-    """The least key of each window of w, of all keys if there are fewer."""
+def _minima(keys: Column, k: int, w: int) -> Column:
+    """The least key of each window of w keys, of all if there are fewer; the last k - 1 keys are null."""
     size, out = 1, keys
     while size < w:
-        n = 4 if size * 4 <= w else 2
-        out, size = _let(out, partial(_least, size=size, n=n)), size * n
-    return _let(out, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (w - 1), F.lit(1))))
+        out, size = _let(out, partial(_least, size=size)), 2 * size
+    return _let(out, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (k + w - 2), F.lit(1))))
 
 
-def _winnow_block(text: Column, start: Column, k: int, w: int) -> Column:
-    """Selections of one block of text that begins at position ``start``."""
-    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LAST) - start - i.cast("long"))
-    return F.array_distinct(_minima(F.transform(_hashes(F.split(text, ""), k), pack), w))
+def _winnow_block(text: Column, start: Column | None, k: int, w: int) -> Column:
+    """Selections of one block of text that begins at position ``start``, 0 without it."""
+    place = lambda i: i.cast("long") if start is None else start + i
+    # LAST less the place is LAST xor the place
+    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(place(i).bitwiseXOR(F.lit(LAST).cast("long")))
+    return F.array_distinct(_minima(F.transform(_hashes(F.split(text, ""), k), pack), k, w))
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     """Selections of a text as array<long>, by position."""
-    if k & (k - 1) or w & (w - 1) or k < 1 or w < 1 or w + k > BLOCK:
-        raise ValueError("k and w must be powers of two")
+    if k & (k - 1) or w & (w - 1) or not 1 <= k <= 32 or w < 1 or w + k > BLOCK:
+        raise ValueError("k and w must be powers of two, k at most 32")
     over = w + k - 2
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
@@ -83,7 +83,7 @@ def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
 
     long = _let(blocks, lambda parts: F.array_distinct(F.flatten(F.transform(parts, lambda part, i: block(parts, part, i)))))
     none = F.array().cast("array<long>")
-    return F.when(F.coalesce(text, F.lit("")) == "", none).when(F.length(text) <= BLOCK, _winnow_block(text, F.lit(0).cast("long"), k, w)).otherwise(long)
+    return F.when(F.coalesce(text, F.lit("")) == "", none).when(F.length(text) <= BLOCK, _winnow_block(text, None, k, w)).otherwise(long)
 
 
 def hash_of(selection: Column) -> Column:

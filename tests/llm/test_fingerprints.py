@@ -20,7 +20,7 @@ def brute(text, k, w):
     for i in range(len(codes) - k + 1):
         h = 0
         for c in codes[i : i + k]:
-            h = ((h << 1 | h >> 63) & mask) ^ c
+            h = (h << 1 & mask) ^ c
         grams.append(h >> 32)
     out = []
     for s in range(max(1, len(grams) - w + 1)):
