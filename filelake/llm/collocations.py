@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: Bytes of text of a block, and most bits of a bitmap (32 MiB).
-BLOCK, BITS = 16 << 20, 1 << 28
+BLOCK, BITS = 4 << 20, 1 << 28
 #: Odd multipliers of bytes, of words, and their inverses modulo 2^64.
 OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 LOWER = np.arange(256, dtype=np.uint8)
@@ -73,7 +73,7 @@ class Block:
         stops = np.flatnonzero(inside & (first[1:] | ~np.r_[inside[1:], False])) + 1 if len(data) else starts
         text = np.searchsorted(offsets, starts, "right") - 1
         # words of one piece have one number: separators so far, and texts
-        self.piece = np.cumsum(parts == 2, dtype=np.int64)[starts] + text if len(starts) else starts
+        self.piece = np.searchsorted(np.flatnonzero(parts == 2), starts) + text
         self.langs, kinds = np.unique(np.array(langs, object).astype(str), return_inverse=True) if langs else (np.array([], str), np.zeros(0, np.int64))
         self.lang = kinds[text] if len(starts) else starts
         lengths = np.r_[0, np.cumsum(stops - starts)]
