@@ -18,7 +18,7 @@ from ..sources.files import cut_lineage
 from .packages import docx_paragraphs, odf_text, slide_text, workbook_grids
 from .records import explode_archives
 from .triage import is_zip, with_route
-from .views import _runs
+from .views import _runs, with_encoding, with_text
 
 
 class Reader(NamedTuple):
@@ -38,10 +38,6 @@ def register_reader(readers: tuple[Reader, ...], viewer_id: str, extensions, sni
     return (*readers, Reader(viewer_id, tuple(extensions), sniff, matches, extract))
 
 
-def _lines(data: bytes) -> Iterable[str]:
-    return data.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-
-
 def _names(data: bytes) -> Iterator[str]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         yield from (i.filename for i in archive.infolist() if not i.is_dir())
@@ -72,11 +68,12 @@ def office_texts(files: DataFrame) -> DataFrame:
 def extract_all(files: DataFrame, readers: tuple[Reader, ...] = ()) -> DataFrame:
     """(file_id, viewer_id, seq, text, error): each file by the reader it is routed to.
 
-    Documents and code give lines, archives the names of their entries, office packages their texts,
+    Documents and code give lines, decoded by the encoding that is found, archives the names of their entries, office packages their texts,
     all else printable strings. Where a reader fails, or an office file gives no text, the error
-    is a row with a null text and the strings follow.
+    is a row with a null text and the strings follow. A reader that a user adds takes the place of a fixed one of its name.
     """
-    extractors = {"doc": _lines, "code": _lines, "archive": _names, "office": _none} | {r.viewer_id: r.extract for r in readers}
+    extractors = {"archive": _names, "office": _none} | {r.viewer_id: r.extract for r in readers}
+    textual = [v for v in ("doc", "code") if v not in extractors]
 
     def rows(viewer: str, data: bytes) -> Iterator[tuple[str | None, str | None]]:
         try:
@@ -97,12 +94,20 @@ def extract_all(files: DataFrame, readers: tuple[Reader, ...] = ()) -> DataFrame
                     )
 
     routed = cut_lineage(with_route(files, [(r.viewer_id, r.extensions, r.sniff, r.matches) for r in readers]).select("file_id", "viewer_id", "content"))
-    is_office = F.col("viewer_id") == "office"
+    is_office, is_text = F.col("viewer_id") == "office", F.col("viewer_id").isin(textual)
+    lines = with_text(with_encoding(routed.where(is_text))).select("file_id", "viewer_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n", -1)).alias("seq", "text"))
+    lines = lines.select("file_id", "viewer_id", F.col("seq").cast("long").alias("seq"), "text", F.lit(None).cast("string").alias("error"))
     office = cut_lineage(office_texts(routed.where(is_office)))
     bare = routed.where(is_office).join(office.select("file_id").distinct(), "file_id", "left_anti")
-    rest = routed.where(~is_office).unionByName(bare.select("file_id", "viewer_id", "content"))
+    rest = routed.where(~is_office & ~is_text).unionByName(bare.select("file_id", "viewer_id", "content"))
     whole = office.select("file_id", F.lit("office").alias("viewer_id"), "seq", "text", F.lit(None).cast("string").alias("error"))
-    return whole.unionByName(rest.mapInArrow(run, "file_id long, viewer_id string, seq long, text string, error string"))
+    return whole.unionByName(lines).unionByName(rest.mapInArrow(run, "file_id long, viewer_id string, seq long, text string, error string"))
+
+
+def extraction_report(extracted: DataFrame) -> DataFrame:
+    """(viewer_id, files, rows, chars, failed): what each branch of ``extract_all`` gave, and how many of its files failed."""
+    by_file = extracted.groupBy("viewer_id", "file_id").agg(F.count("text").alias("rows"), F.sum(F.length("text")).alias("chars"), F.max(F.col("error").isNotNull()).alias("failed"))
+    return by_file.groupBy("viewer_id").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.count_if("failed").alias("failed"))
 
 
 def expand_nested(files: DataFrame, max_depth: int = 3) -> DataFrame:

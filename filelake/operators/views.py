@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .charsets import guess_of
 from .triage import _starts
 
 #: A printable run: tab, ASCII, and well-formed UTF-8 sequences.
@@ -51,7 +52,11 @@ def hex_dump(files: DataFrame, first: int = 0, last: int | None = None) -> DataF
     end = F.floor((size - 1) / 16) if last is None else F.least(F.floor((size - 1) / 16), F.lit(last))
     rows = files.where(size > first * 16).select("file_id", "content", size.alias("size"), F.explode(F.sequence(F.lit(first).cast("long"), end)).alias("row_no"))
     part = F.col("content").substr((F.col("row_no") * 16 + 1).cast("int"), F.lit(16))
-    rows = rows.select("file_id", "row_no", "size", part.alias("part"))
+    return hex_columns(rows.select("file_id", "row_no", "size", part.alias("part")))
+
+
+def hex_columns(rows: DataFrame) -> DataFrame:
+    """(file_id, row_no, offset, hex, ascii) of (file_id, row_no, size, part): 16 bytes of a file of that size."""
     width = F.greatest(F.lit(8), F.length(F.lower(F.hex(F.col("size") - 1))))
     spaced = F.trim(F.regexp_replace(F.lower(F.hex("part")), "(..)", "$1 "))
     split = F.when(F.length(spaced) > 24, F.concat(F.left(spaced, F.lit(23)), F.lit("  "), F.substr(spaced, F.lit(25)))).otherwise(spaced)
@@ -61,14 +66,31 @@ def hex_dump(files: DataFrame, first: int = 0, last: int | None = None) -> DataF
     )
 
 
-def detect_encoding(files: DataFrame) -> DataFrame:
-    """(file_id, encoding, bom, guessed): a byte order mark, else UTF-8; ``guessed`` where the bytes are valid UTF-8 but for a cut end."""
+def with_encoding(files: DataFrame) -> DataFrame:
+    """Files with ``encoding``, ``bom``, ``guessed`` and ``confidence``; columns of these names are replaced.
+
+    A byte order mark counts, else UTF-8 (its last character may be cut), else the code page whose pair model makes text of the
+    bytes; what none makes text of is called UTF-8 with ``guessed`` false and confidence 0. Only bytes that are neither go to the models. Null
+    content is UTF-8 without confidence.
+    """
     c = F.col("content")
     view = F.decode(c, "ISO-8859-1")
     cut = F.encode(F.regexp_replace(view, TAIL, ""), "ISO-8859-1")
-    valid = F.is_valid_utf8(c.cast("string")) | F.is_valid_utf8(cut.cast("string"))
     bom = F.when(_starts(c, "EFBBBF"), "utf-8").when(_starts(c, "FFFE"), "utf-16le").when(_starts(c, "FEFF"), "utf-16be")
-    return files.select("file_id", F.coalesce(bom, F.lit("utf-8")).alias("encoding"), F.coalesce(bom.isNotNull(), F.lit(False)).alias("bom"), (bom.isNull() & valid).alias("guessed"))
+    marked = files.withColumns({"__bom": bom, "__valid": F.coalesce(F.is_valid_utf8(c.cast("string")) | F.is_valid_utf8(cut.cast("string")), F.lit(False))})
+    found = marked.withColumn("__page", guess_of(c, F.col("__bom").isNull() & ~F.col("__valid")))
+    by_page = F.col("__page.label").isNotNull() & F.col("__bom").isNull() & ~F.col("__valid")
+    return found.withColumns(
+        {
+            "encoding": F.coalesce("__bom", F.when(by_page, F.col("__page.label")), F.lit("utf-8")), "bom": F.col("__bom").isNotNull(), "guessed": F.col("__bom").isNull() & (F.col("__valid") | by_page),
+            "confidence": F.when(F.col("__bom").isNotNull() | F.col("__valid"), F.lit(1.0)).otherwise(F.coalesce("__page.confidence", F.lit(0.0))),
+        }
+    ).drop("__bom", "__valid", "__page")
+
+
+def detect_encoding(files: DataFrame) -> DataFrame:
+    """(file_id, encoding, bom, guessed, confidence), as ``with_encoding`` finds them."""
+    return with_encoding(files.select("file_id", "content")).select("file_id", "encoding", "bom", "guessed", "confidence")
 
 
 def _runs(data: bytes, min_length: int, max_run: int):
@@ -126,13 +148,14 @@ def encoding_options(detected: DataFrame) -> DataFrame:
     return detected.select("file_id", F.posexplode(labels).alias("ord", "label"))
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """(file_id, text) of (file_id, encoding, truncated, content): malformed bytes become U+FFFD, a byte order mark goes.
+def with_text(files: DataFrame) -> DataFrame:
+    """Files with ``text``, their content decoded by ``encoding``: malformed bytes become U+FFFD, a byte order mark goes.
 
     UTF-8 and unknown labels stay in the JVM; other code pages go through an Arrow helper, which
-    gets no other bytes. The end of a truncated file that cuts a character is dropped.
+    gets no other bytes. Where a column ``truncated`` is true, an end that cuts a character is dropped.
     """
     label, content = F.lower("encoding"), F.col("content")
+    truncated = F.coalesce("truncated", F.lit(False)) if "truncated" in files.columns else F.lit(False)
     other = label.isin(list(CODECS))
 
     @F.pandas_udf("string")
@@ -150,10 +173,15 @@ def decode_files(files: DataFrame) -> DataFrame:
         return pd.Series([one(*x) for x in zip(data, labels, cut, strict=True)], dtype=object)
 
     view = F.decode(content, "ISO-8859-1")
-    whole = F.when(F.col("truncated"), F.encode(F.regexp_replace(view, TAIL, ""), "ISO-8859-1")).otherwise(content)
+    whole = F.when(truncated, F.encode(F.regexp_replace(view, TAIL, ""), "ISO-8859-1")).otherwise(content)
     utf8 = F.regexp_replace(F.make_valid_utf8(whole.cast("string")), "^\ufeff", "")
-    helped = coded(F.when(other, content), label, F.coalesce("truncated", F.lit(False)))
-    return files.select("file_id", F.when(other, helped).otherwise(utf8).alias("text"))
+    helped = coded(F.when(other, content), label, truncated)
+    return files.withColumn("text", F.when(other, helped).otherwise(utf8))
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """(file_id, text) of (file_id, encoding, truncated, content), as ``with_text`` decodes them."""
+    return with_text(files).select("file_id", "text")
 
 
 def clean_paragraphs(texts: DataFrame, word: bool = True) -> DataFrame:

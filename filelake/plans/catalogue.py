@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,9 +178,22 @@ def _(spark, d):
     return V.hex_dump(files(spark, d))
 
 
-@query("detect_encoding", "select file_id, case when starts_with(h,'FFFE') then 'utf-16le' when starts_with(h,'FEFF') then 'utf-16be' else 'utf-8' end as encoding, starts_with(h,'FFFE') or starts_with(h,'FEFF') or starts_with(h,'EFBBBF') as bom from fx_files", "fx_files")
+def coded(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in many code pages as files; only the encoding needs Python."""
+
+    @F.pandas_udf("binary")
+    def encoded(texts: pd.Series, labels: pd.Series) -> pd.Series:
+        marks = {"utf-16le": b"\xff\xfe", "utf-16be": b"\xfe\xff"}
+        return pd.Series([marks.get(page, b"") + t.encode(V.CODECS.get(page, "utf-8")) for t, page in zip(texts, labels, strict=True)])
+
+    return frame(spark, d, "fx_coded").select("file_id", F.lit("c.txt").alias("name"), encoded("text", "coded").alias("content"))
+
+
+@query("detect_encoding", """~ b as (select *, starts_with(h,'FFFE') or starts_with(h,'FEFF') or starts_with(h,'EFBBBF') as bom from fx_files)
+ select file_id, case when starts_with(h,'FFFE') then 'utf-16le' when starts_with(h,'FEFF') then 'utf-16be' else 'utf-8' end as encoding, bom, not bom and file_id % 19 not in (1, 3, 4) as guessed from b
+ union all select file_id, coded, starts_with(coded, 'utf-16'), not starts_with(coded, 'utf-16') from fx_coded""", "fx_files", "fx_coded")
 def _(spark, d):
-    return V.detect_encoding(files(spark, d)).select("file_id", "encoding", "bom")
+    return V.detect_encoding(files(spark, d).unionByName(coded(spark, d))).drop("confidence")
 
 
 @query("extract_strings")

@@ -19,9 +19,10 @@ from ..operators import packages as P
 from ..operators import readers, triage
 from ..operators import records as R
 from ..operators import views as V
+from ..sources import ranges
 from ..sources.files import cut_lineage, read_files, shared_path, stream_files, write_by_viewer
 from ..streaming import streams
-from .catalogue import ROUTED, SNIFF, files, query
+from .catalogue import ROUTED, SNIFF, coded, files, query
 from .fixtures import frame
 
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -247,6 +248,24 @@ def _(spark, d):
     return readers.extract_all(files(spark, d).unionByName(real))
 
 
+TEXTS = f"""{ROUTED}, a as (select file_id, viewer_id, case when starts_with(h, 'EFBBBF') then substr(h, 7) else h end as h from r where viewer_id in ('doc', 'code') and not (starts_with(h, 'FFFE') or starts_with(h, 'FEFF') or file_id % 19 in (1, 3, 4))),
+ l as (select file_id, viewer_id, regexp_split_to_array(decode(unhex(h)), '\\r\\n|\\r|\\n') as lines from a union all select file_id, 'code', regexp_split_to_array(text, '\\r\\n|\\r|\\n') from fx_coded)
+ select file_id, viewer_id, unnest(range(0, len(lines))) as seq, unnest(lines) as text, cast(null as varchar) as error from l"""
+
+
+@query("extract_texts", TEXTS, "fx_files", "fx_coded")
+def _(spark, d):
+    # what is UTF-8 in the made-up files, and texts in seven encodings
+    plain = files(spark, d).where("file_id % 19 not in (1, 3, 4, 14)")
+    return readers.extract_all(plain.unionByName(coded(spark, d))).where("viewer_id in ('doc', 'code')")
+
+
+@query("extraction_report", f"{TEXTS.replace('select file_id, viewer_id, unnest', 'select viewer_id, count(distinct file_id) as files, count(*) as rows, cast(sum(length(text)) as bigint) as chars, 0 as failed from (select file_id, viewer_id, unnest')}) group by viewer_id", "fx_files", "fx_coded")
+def _(spark, d):
+    plain = files(spark, d).where("file_id % 19 not in (1, 3, 4, 14)")
+    return readers.extraction_report(readers.extract_all(plain.unionByName(coded(spark, d))).where("viewer_id in ('doc', 'code')"))
+
+
 @query("strings_stream")
 def _(spark, d):
     size = F.octet_length("data")
@@ -292,6 +311,69 @@ def _(spark, d):
     return spark.read.parquet(path).select("file_id", "extension", "viewer_id", "source")
 
 
+def _joined(spark, d, ascii_only=False):
+    """A folder of sixteen files, each of the texts of a sixteenth of the documents, a line break behind each text."""
+    path = shared_path(spark)
+    text = F.coalesce("text", F.lit(""))
+    text = F.regexp_replace(text, "[^\\x00-\\x7F]", "\u0001") if ascii_only else text
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("value"), (F.col("doc_id") % 16).alias("part"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("value", "part").write.partitionBy("part").text(path)
+    return path
+
+
+def _by_part(spark, path, rows):
+    """Rows of files by the number of the file."""
+    ids = read_files(spark, path, "*.txt", paths=True).select("file_id", F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"))
+    return rows.join(F.broadcast(ids), "file_id").drop("file_id")
+
+
+JOINED = "~ j as (select doc_id % 16 as part, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as t from documents group by 1)"
+
+
+@query("range_lines", JOINED + ", l as (select part, regexp_split_to_array(t, '\\r\\n|\\r|\\n') as a from j) select part, unnest(range(1, len(a) + 1)) as line_no, unnest(a) as text from l", "fx_opens")
+def _(spark, d):
+    path = _joined(spark, d)
+    return _by_part(spark, path, ranges.range_lines(ranges.list_ranges(spark, path, 40_000, "*.txt")))
+
+
+@query("range_hex", JOINED + """, b as (select part, hex(encode(t)) as h from j), r as (select part, length(h) // 2 as n, unnest(range(0, (length(h) // 2 - 1) // 16 + 1)) as row_no, h from b), c as (select part, n, row_no, substr(h, row_no * 32 + 1, 32) as p from r)
+ select part, row_no, lpad(lower(to_hex(row_no * 16)), greatest(8, length(to_hex(n - 1)))::int, '0') as "offset", md5(p) as part_md5 from c""", "fx_opens")
+def _(spark, d):
+    # the hex column without its blanks is the bytes
+    path = _joined(spark, d)
+    rows = ranges.range_hex(ranges.list_ranges(spark, path, 40_001, "*.txt"))
+    return _by_part(spark, path, rows).select("part", "row_no", "offset", F.md5(F.upper(F.replace("hex", F.lit(" "), F.lit("")))).alias("part_md5"))
+
+
+RUNS = """, r as (select part, regexp_extract_all(t, '[\t -~]+|[^\t -~]+') as a from j), s as (select part, unnest(a) as run, unnest(range(1, len(a) + 1)) as k from r),
+ o as (select part, run, k, coalesce(sum(length(run)) over (partition by part order by k rows between unbounded preceding and 1 preceding), 0) as o from s), p as (select part, run, o, unnest(range(0, (length(run) - 1) // 4096 + 1)) as q from o where regexp_matches(run, '^[\t -~]'))
+ select part, cast(o + q * 4096 as bigint) as "offset", substr(run, q * 4096 + 1, 4096) as text from p where length(substr(run, q * 4096 + 1, 4096)) >= 4"""
+ASCII = JOINED.replace("coalesce(text, '')", "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', chr(1), 'g')")
+
+
+@query("range_strings", ASCII + RUNS, "fx_opens")
+def _(spark, d):
+    path = _joined(spark, d, ascii_only=True)
+    return _by_part(spark, path, ranges.range_strings(ranges.list_ranges(spark, path, 30_000, "*.txt")))
+
+
+@query("ascii_strings", ASCII.replace("doc_id % 16 as part", "doc_id as part").replace(" || chr(10)", "") + RUNS, "fx_opens")
+def _(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "\u0001").cast("binary")
+    return V.extract_strings(docs.select(F.col("doc_id").alias("file_id"), plain.alias("content"))).withColumnRenamed("file_id", "part")
+
+
+@query("read_ranges", JOINED + " select part, upper(md5(t)) as md5, octet_length(encode(t)) as size, (octet_length(encode(t)) - 1) // 50000 + 1 as n from j", "fx_opens")
+def _(spark, d):
+    # whole files put together from their ranges
+    path = _joined(spark, d)
+    whole = ranges.read_ranges(spark, path, 50_000).where("name like '%.txt'").groupBy("file_id").agg(
+        F.count("*").alias("n"), F.max("size").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("h")
+    )
+    return _by_part(spark, path, whole).select("part", F.upper(F.md5(F.unhex("h"))).alias("md5"), "size", "n")
+
+
 @query("num_fmt_kind", f"select p_partkey, case when p_partkey % 60 in ({','.join(map(str, S.DATE_IDS))}) then 'date' when p_partkey % 60 in ({','.join(map(str, S.PERCENT_IDS))}) then 'percent' when p_partkey % 2 = 0 then 'percent' else 'date' end as kind from part", "fx_opens")
 def _(spark, d):
     code = F.when(F.col("p_partkey") % 2 == 0, '0.0%"day"').otherwise("[Red]yy")

@@ -16,6 +16,20 @@ select doc_id as file_id,
   concat('f', doc_id, case doc_id % 16 when 0 then '.txt' when 1 then '.md' when 2 then '.json' when 3 then '.csv' when 4 then '.html' when 5 then '.svg' when 6 then '.docx' when 7 then '.xlsx' when 8 then '.zip' when 9 then '.pdf' when 10 then '.PNG' when 11 then '.mp3' when 12 then '.doc' when 13 then '.ods' when 14 then '.' else '' end) as name,
   concat(case doc_id % 19 when 0 then '504B0304' when 1 then 'D0CF11E0A1B11AE1' when 2 then '25504446' when 3 then '89504E470D0A1A0A' when 4 then 'FFD8FF' when 5 then '474946383961' when 6 then '524946460000000057454250' when 7 then '00000100' when 8 then '524946460000000057415645' when 9 then '00000018667479706D703432' when 10 then '1A45DFA3' when 11 then '4F676753' when 12 then '494433' when 13 then 'EFBBBF' when 14 then 'FFFE' when 15 then '0102030405060708' else '' end, hex(encode(text))) as h
 from documents
+"""),
+    # texts by code page, letters of English written as Cyrillic and kana ones; too few of them stay UTF-8
+    "fx_coded": (r"""
+select file_id, label, text, case when label in ('utf-16le', 'utf-16be') then label when label = 'windows-1252' then case when length(regexp_replace(text, r'[\x00-\x7F]', '')) >= 20 then label else 'utf-8' end when letters >= 100 then label else 'utf-8' end as coded from (
+ select -1 - doc_id as file_id, label, length(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '')) as letters,
+  case label when 'windows-1252' then regexp_replace(coalesce(text, ''), r'[^\x00-\x7F\x{A0}-\x{FF}]', '') when 'shift_jis' then translate(regexp_replace(coalesce(text, ''), r'[^\x00-\x7F]', ''), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'いんのとしかうたをてにはるなこでりすきもがまさられくアンイスルトラリコタテシクロキニハマナカサレエオミツ') when 'windows-1251' then translate(regexp_replace(coalesce(text, ''), r'[^\x00-\x7F]', ''), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'оеаинтсрвлкмдпуяыгзбчйхжшьОЕАИНТСРВЛКМДПУЯЫГЗБЧЙХЖШЬ')
+   when 'ibm866' then translate(regexp_replace(coalesce(text, ''), r'[^\x00-\x7F]', ''), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'оеаинтсрвлкмдпуяыгзбчйхжшьОЕАИНТСРВЛКМДПУЯЫГЗБЧЙХЖШЬ') when 'koi8-r' then translate(regexp_replace(coalesce(text, ''), r'[^\x00-\x7F]', ''), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'оеаинтсрвлкмдпуяыгзбчйхжшьОЕАИНТСРВЛКМДПУЯЫГЗБЧЙХЖШЬ') else coalesce(text, '') end as text
+ from (select doc_id, text, case doc_id % 7 when 0 then 'windows-1251' when 1 then 'ibm866' when 2 then 'koi8-r' when 3 then 'shift_jis' when 4 then 'windows-1252' when 5 then 'utf-16le' else 'utf-16be' end as label from documents))
+""", r"""
+select file_id, label, text, case when label in ('utf-16le', 'utf-16be') then label when label = 'windows-1252' then case when length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) >= 20 then label else 'utf-8' end when letters >= 100 then label else 'utf-8' end as coded from (
+ select -1 - doc_id as file_id, label, length(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g')) as letters,
+  case label when 'windows-1252' then regexp_replace(coalesce(text, ''), '[^\x00-\x7F\x{A0}-\x{FF}]', '', 'g') when 'shift_jis' then translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'いんのとしかうたをてにはるなこでりすきもがまさられくアンイスルトラリコタテシクロキニハマナカサレエオミツ') when 'windows-1251' then translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'оеаинтсрвлкмдпуяыгзбчйхжшьОЕАИНТСРВЛКМДПУЯЫГЗБЧЙХЖШЬ')
+   when 'ibm866' then translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'оеаинтсрвлкмдпуяыгзбчйхжшьОЕАИНТСРВЛКМДПУЯЫГЗБЧЙХЖШЬ') when 'koi8-r' then translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), 'etaoinshrdlucmfwypvbgkqjxzETAOINSHRDLUCMFWYPVBGKQJXZ', 'оеаинтсрвлкмдпуяыгзбчйхжшьОЕАИНТСРВЛКМДПУЯЫГЗБЧЙХЖШЬ') else coalesce(text, '') end as text
+ from (select doc_id, text, case doc_id % 7 when 0 then 'windows-1251' when 1 then 'ibm866' when 2 then 'koi8-r' when 3 then 'shift_jis' when 4 then 'windows-1252' when 5 then 'utf-16le' else 'utf-16be' end as label from documents))
 """),
     "fx_lines": (r"""
 select doc_id as file_id, pos + 1 as line_no, col as text from (select doc_id, posexplode(split(text, '\r\n|\r|\n', -1)) from documents)

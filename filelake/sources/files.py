@@ -13,8 +13,9 @@ from ..operators.triage import route_files
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _named(raw: DataFrame) -> DataFrame:
+def _named(raw: DataFrame, more: list[str] | None = None) -> DataFrame:
     return raw.select(
+        *(more or []),
         F.xxhash64("path").alias("file_id"), F.substring_index("path", "/", -1).alias("name"), F.lit("").alias("mime"), F.col("length").alias("size"), "content"
     )
 
@@ -38,10 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file_id, name, mime, size, content) of every file below ``path``; content is read only if it is used."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, paths: bool = False) -> DataFrame:
+    """(file_id, name, mime, size, content) of every file below ``path``, with ``paths`` its path too; content is read only if it is used.
+
+    A row holds a file of up to 2 GB; files of any size are read by ``sources.ranges``.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return _named((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
+    raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return _named(raw, ["path"] if paths else [])
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
