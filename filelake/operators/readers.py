@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name
 from ..sources.files import cut_lineage
+from .archives import explode_archives
 from .packages import docx_paragraphs, odf_text, slide_text, workbook_grids
-from .records import explode_archives
 from .triage import is_zip, with_route
 from .views import _runs, with_encoding, with_text
 
@@ -110,23 +110,51 @@ def extraction_report(extracted: DataFrame) -> DataFrame:
     return by_file.groupBy("viewer_id").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.count_if("failed").alias("failed"))
 
 
-def expand_nested(files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(file_id, name, content, parent, path, depth, error): the files, and the entries of archives in them down to ``max_depth``.
+def nested_archives(files: DataFrame, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Where entries of archives in archives stand, and what they hold: lineage and contents.
 
-    An archive or entry that can't be read is a row with its error and without content. An entry's id is a hash of its archive's id and its path. Each level is written to the shared
-    folder, so a lost executor costs one level, and is dealt out anew by id.
+    Lineage is (file_id, name, parent, path, depth, error, digest), a row per file and per entry of each archive down to ``max_depth``; an entry's
+    id is a hash of its archive's id and its place in it, so two entries of one path are two. Contents are (digest, content), each once. An archive
+    that occurs in many places, or on many levels, is unpacked once. Each level is written to the shared folder,
+    so a lost executor costs one level.
     """
-    blank = F.lit(None).cast("string")
-    level = files.select("file_id", "name", "content", F.lit(None).cast("long").alias("parent"), blank.alias("path"), F.lit(0).alias("depth"), blank.alias("error"))
-    out = level
+    blank, head = F.lit(None).cast("string"), F.substring("content", 1, 4096).alias("head")
+    digest = F.sha2("content", 256).alias("digest")
+    held = [cut_lineage(files.select("file_id", "name", "content", digest))]
+    level = held[0].select("file_id", "name", F.lit(None).cast("long").alias("parent"), blank.alias("path"), F.lit(0).alias("depth"), blank.alias("error"), "digest", head)
+    lineage, opened = level, None
     for depth in range(1, max_depth + 1):
-        archives = with_route(level.where("content is not null").drop("error")).where("viewer_id = 'archive'").select("file_id", "content")
-        entries = explode_archives(archives)
-        level = entries.select(
-            F.xxhash64("file_id", "path").alias("file_id"), base_name(F.col("path")).alias("name"), "content", F.col("file_id").alias("parent"), "path", F.lit(depth).alias("depth"), "error"
-        )
-        level = cut_lineage(level.repartition("file_id"))
-        out = out.unionByName(level)
+        archives = with_route(level.where("digest is not null").select("file_id", "name", "digest", F.col("head").alias("content"))).where("viewer_id = 'archive'").select("file_id", "digest")
+        archives = cut_lineage(archives)
+        wanted = archives.select("digest").distinct()
+        fresh = wanted if opened is None else wanted.join(opened.select(F.col("archive").alias("digest")), "digest", "left_anti")
+        # the bytes of archives seen for the first time, from wherever they stand
+        source = held[0].select("digest", "content")
+        for more in held[1:]:
+            source = source.unionByName(more.select("digest", "content"))
+        bytes_of = source.join(fresh, "digest", "left_semi").dropDuplicates(["digest"])
+        entries = explode_archives(bytes_of.select(F.col("digest").alias("file_id"), "content").repartition("file_id"))
+        entries = cut_lineage(entries.select(F.col("file_id").alias("archive"), "entry_no", "path", "content", "error", digest))
+        held.append(entries)
+        places = entries.select("archive", "entry_no", "path", "error", "digest", head)
+        opened = places if opened is None else opened.unionByName(places)
+        level = archives.select(F.col("file_id").alias("parent"), F.col("digest").alias("archive")).join(opened, "archive")
+        level = cut_lineage(level.select(
+            F.xxhash64("parent", "entry_no").alias("file_id"), base_name(F.col("path")).alias("name"), "parent", "path", F.lit(depth).alias("depth"), "error", "digest", "head"
+        ))
+        lineage = lineage.unionByName(level)
         if level.isEmpty():
             break
-    return out
+    contents = held[0].select("digest", "content")
+    for more in held[1:]:
+        contents = contents.unionByName(more.select("digest", "content"))
+    return lineage.drop("head"), contents.where("digest is not null").dropDuplicates(["digest"])
+
+
+def expand_nested(files: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(file_id, name, content, parent, path, depth, error): the files, and the entries of archives in them down to ``max_depth``.
+
+    An archive or entry that can't be read is a row with its error and without content. Lineage and contents as ``nested_archives`` gives them, joined.
+    """
+    lineage, contents = nested_archives(files, max_depth)
+    return lineage.join(contents, "digest", "left").select("file_id", "name", "content", "parent", "path", "depth", "error")

@@ -1,12 +1,7 @@
-"""Ordered records: as-of sections, continuations, pieces, list numbering, spreadsheet cells, archives."""
+"""Ordered records: as-of sections, continuations, pieces, list numbering, spreadsheet cells, listings."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,27 +182,6 @@ def archive_listing(entries: DataFrame, cap: int = 10_000) -> DataFrame:
     return ranked.where(F.col("rank") <= cap).select("file_id", "rank", "path", "size", (F.col("n") > cap).alias("truncated"))
 
 
-def explode_archives(files: DataFrame, max_entry: int = 500 << 20) -> DataFrame:
-    """(file_id, path, size, content, error): every file of each ZIP, one row at a time; a corrupt archive is an error row."""
-
-    def run(batches):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-        batch_of = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["file_id", "path", "size", "content", "error"])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                file_id, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or b""
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                        for info in archive.infolist():
-                            if not info.is_dir():
-                                big = info.file_size > max_entry
-                                yield batch_of(file_id, info.filename, info.file_size, None if big else archive.read(info), "too large" if big else None)
-                except Exception as e:  # noqa: BLE001  damage of any kind is data here
-                    yield batch_of(file_id, None, None, None, str(e) or type(e).__name__)
-
-    return files.select("file_id", "content").mapInArrow(run, "file_id long, path string, size long, content binary, error string")
-
-
 def heading_tags(paragraphs: DataFrame, style: Column) -> DataFrame:
     """h1 to h6 by style name, else p."""
     tags = {"title": "h1", **{f"heading{k}": f"h{k}" for k in range(1, 7)}}

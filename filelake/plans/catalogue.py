@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import archives as A
 from ..operators import markdown as M
 from ..operators import records as R
 from ..operators import triage as T
 from ..operators import views as V
+from ..sources.files import list_files, shared_path, write_files
 from ..streaming import streams
 from .fixtures import frame, with_fixtures
 
@@ -352,24 +354,55 @@ def _(spark, d):
     return R.list_numbering(frame(spark, d, "fx_paras"), frame(spark, d, "fx_levels"))
 
 
-@query("explode_archives", "select cast(floor(doc_id / 50) as bigint) as file_id, 'd/' || doc_id || '.txt' as path, octet_length(encode(text)) as size, upper(md5(text)) as md5 from documents", "fx_opens")
-def _(spark, d):
+def packed_documents(spark, d) -> DataFrame:
+    """(file_id, name, content): fifty documents to an archive; in every third one the first entry's checksum is wrong in the directory."""
     import io
     import zipfile
 
     def pack(t):
         import pyarrow as pa
 
-        buffer = io.BytesIO()
+        t, buffer = t.sort_by("doc_id"), io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("d/", "")
             for k, text in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True):
                 z.writestr(f"d/{k}.txt", text)
-        return pa.table({"file_id": pa.array([t.column("file_id")[0].as_py()], pa.int64()), "content": pa.array([buffer.getvalue()], pa.binary())})
+        data, file_id = bytearray(buffer.getvalue()), t.column("file_id")[0].as_py()
+        if file_id % 3 == 1:
+            at = data.index(b"PK\x01\x02", data.index(b"PK\x01\x02") + 4) + 16
+            data[at] ^= 0xFF
+        return pa.table({"file_id": pa.array([file_id], pa.int64()), "name": pa.array([f"{file_id}.zip"]), "content": pa.array([bytes(data)], pa.binary())})
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 50).alias("file_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.groupBy("file_id").applyInArrow(pack, "file_id long, name string, content binary")
+
+
+def archives_on_disk(spark, d) -> DataFrame:
+    """The same archives as files: (file_id, path, size)."""
+    path = shared_path(spark)
+    write_files(packed_documents(spark, d), path)
+    return list_files(spark, path, "*.zip").withColumn("file_id", F.regexp_extract("path", "([0-9]+)[.]zip$", 1).cast("long"))
+
+
+PACKED = """~ e as (select cast(floor(doc_id / 50) as bigint) as file_id, 'd/' || doc_id || '.txt' as path, coalesce(text, '') as text, row_number() over (partition by floor(doc_id / 50) order by doc_id) as no from documents),
+ a as (select *, octet_length(encode(text)) as size, file_id % 3 = 1 and no = 1 as damaged from e)"""
+
 
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 50).alias("file_id"), "doc_id", "text")
-    zips = docs.groupBy("file_id").applyInArrow(pack, "file_id long, content binary")
-    return R.explode_archives(zips).select("file_id", "path", "size", F.upper(F.md5("content")).alias("md5"))
+@query("explode_archives", f"{PACKED} select file_id, path, size, case when not damaged then upper(md5(text)) end as md5, damaged from a", "fx_opens")
+def _(spark, d):
+    return A.explode_archives(packed_documents(spark, d)).select("file_id", "path", "size", F.upper(F.md5("content")).alias("md5"), F.col("error").isNotNull().alias("damaged"))
+
+
+@query("list_archives", f"{PACKED} select file_id, path, no as entry_no, size, 8 as method from a", "fx_opens")
+def _(spark, d):
+    return A.list_archives(archives_on_disk(spark, d)).select("file_id", "path", "entry_no", "size", "method")
+
+
+@query("entry_pieces", f"{PACKED}, p as (select *, unnest(range(0, greatest((size - 1) // 2000, 0) + 1)) as k, hex(encode(text)) as h from a), q as (select file_id, path, k as piece_no, substr(h, k * 4000 + 1, 4000) as h, damaged, size from p) select file_id, path, piece_no, md5(h) as md5, false as failed from q where not damaged or (piece_no + 1) * 2000 <= size union all select file_id, path, size // 2000, null, true from a where damaged", "fx_opens")
+def _(spark, d):
+    # an entry with a wrong checksum gives its whole pieces before that is known
+    pieces = A.entry_pieces(A.list_archives(archives_on_disk(spark, d)), 2000)
+    return pieces.select("file_id", "path", "piece_no", F.md5(F.hex("data")).alias("md5"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("asset_refs", "select distinct page_id, unnest(['a' || (page_id % 5) || '.js', 's.css']) as path from pages", "fx_opens")

@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..operators import markdown as M
 from ..operators import packages as P
 from ..operators import readers, triage
+from ..operators.archives import explode_archives
 from ..operators import records as R
 from ..operators import views as V
 from ..sources import ranges
@@ -78,7 +79,7 @@ def _grouped(spark, d, make):
 
 
 def _entries(spark, d):
-    return R.explode_archives(_grouped(spark, d, lambda ids, texts: _zip(_parts(ids, texts))))
+    return explode_archives(_grouped(spark, d, lambda ids, texts: _zip(_parts(ids, texts))))
 
 
 DOCS = "~ t as (select cast(floor(doc_id / 50) as bigint) as file_id, doc_id, coalesce(text, '') as text, row_number() over (partition by floor(doc_id / 50) order by doc_id) - 1 as k from documents)"

@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.triage import route_files
+from .access import located
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -49,6 +52,29 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, paths: b
     return _named(raw, ["path"] if paths else [])
 
 
+def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(file_id, path, size) of every file below ``path``, without a byte of them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.xxhash64("path").alias("file_id"), "path", F.col("length").alias("size"))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Each row's ``content`` as the file ``name`` in the folder ``path``; a file appears when it is whole, so a task that runs twice does no harm."""
+
+    def run(batches):
+        store, folder = located(path)
+        store.create_dir(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content or b"")
+                store.move(draft, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("name", "content").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
     """The same rows, for files as they land."""
     return _named(spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", True).load(path))

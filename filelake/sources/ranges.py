@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,41 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.views import RUN, hex_columns
+from .access import Bytes, located
 
 RANGE = 64 << 20
 #: Bytes that tell whether a character or line break goes on at a cut.
 SEAM = 4
 
 
-@lru_cache(maxsize=64)
-def _store(scheme: str, host: str) -> pafs.FileSystem:
-    return pafs.LocalFileSystem() if scheme in ("", "file") else pafs.FileSystem.from_uri(f"{scheme}://{host}/")[0]
-
-
-def _located(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a path as Spark writes it, and the path in it."""
-    scheme, host, path = re.fullmatch(r"(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/]*))?(.*)", uri, re.S).groups(default="")
-    return _store(scheme, host), path if scheme in ("", "file", "hdfs", "viewfs") else f"{host}{path}"
-
-
-class Bytes:
-    """Random reads of one file."""
-
-    def __init__(self, path: str, size: int):
-        store, at = _located(path)
-        self.file, self.size = store.open_input_file(at), size
-
-    def read(self, start: int, stop: int) -> bytes:
-        start, stop = max(start, 0), min(stop, self.size)
-        return self.file.read_at(stop - start, start) if start < stop else b""
-
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_):
-        self.file.close()
-
-
 class ByteRanges(DataSource):
     """``spark.read.format("byte_ranges")``: (path, size, offset, data), a partition per range.
 
@@ -80,7 +51,7 @@ class RangeReader(DataSourceReader):
         self.path, self.step = options["path"], int(options.get("rangeBytes", RANGE))
 
     def partitions(self) -> list[InputPartition]:
-        store, at = _located(self.path)
+        store, at = located(self.path)
         root = store.get_file_info(at)
         found = [root] if root.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(at, recursive=True))
         prefix = "file:" if isinstance(store, pafs.LocalFileSystem) else self.path[: len(self.path) - len(at)]

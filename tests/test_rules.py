@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filelake.functions import scalars as S
+from filelake.operators import archives as A
 from filelake.operators import records as R
 from filelake.operators import triage as T
 from filelake.operators import views as V
@@ -72,7 +73,7 @@ def test_list_numbering_restarts(spark):
 
 
 def test_corrupt_archive_is_a_row(spark):
-    got = R.explode_archives(spark.createDataFrame([(1, bytearray(b"PK\x03\x04 no"))], "file_id long, content binary")).collect()
+    got = A.explode_archives(spark.createDataFrame([(1, bytearray(b"PK\x03\x04 no"))], "file_id long, content binary")).collect()
     assert len(got) == 1 and got[0].path is None and got[0].error
 
 
