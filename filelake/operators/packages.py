@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SYMBOLS, is_safe_href, parse_cell_ref, resolve_part_path
-from .records import implied_positions, last_cell_wins, resolve_cells, sheet_grid, slide_order
+from .records import implied_positions, last_cell_wins, list_numbering, ods_cells, ods_extent, resolve_cells, sheet_grid, slide_order
 from .triage import image_mime
 
-#: The namespace of relationship ids; hard blanks for a tab of a text (4) and of an ODF text (3), and
-#: bounds of repeated blanks (100) and table rows (1000) are in the walks below.
+#: The namespace of relationship ids; hard blanks for a tab of a text and of an ODF text; repeats of blanks and of table rows in texts count below these.
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 NBSP = " "
-KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+TEXT_TAB, ODF_TAB, BLANKS, ROWS = 4, 3, 100, 1000
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
 
 
 def _name(e: ET.Element) -> str:
@@ -160,7 +160,7 @@ def _run_text(run: ET.Element) -> str:
             case "t":
                 out.append("".join(c.itertext()))
             case "tab":
-                out.append(NBSP * 4)
+                out.append(NBSP * TEXT_TAB)
             case "br":
                 out.append("\n")
             case "sym":
@@ -199,6 +199,35 @@ def docx_paragraphs(entries: DataFrame) -> DataFrame:
     return _walked(entries.where("path = 'word/document.xml'"), walk, fields).drop("path")
 
 
+def parse_numbering(entries: DataFrame) -> DataFrame:
+    """(file_id, num_id, ilvl, fmt) of word/numbering.xml: the levels of the abstract list that each list names; of equal ids the last counts."""
+
+    def walk(root: ET.Element) -> Iterator[tuple]:
+        abstract: dict[int, dict[int, str]] = {}
+        for a in _kids(root, "abstractNum"):
+            if (number := _whole(_attr(a, "abstractNumId"), 0)) is not None:
+                levels = abstract[number] = {}
+                for level in _kids(a, "lvl"):
+                    form = _kid(level, "numFmt")
+                    if (depth := _whole(_attr(level, "ilvl"), 0)) is not None:
+                        levels[depth] = _attr(level if form is None else form, "val") or "decimal"
+        lists = {}
+        for n in _kids(root, "num"):
+            of = _kid(n, "abstractNumId")
+            if (number := _whole(_attr(n, "numId"), 0)) is not None:
+                lists[number] = abstract.get(_whole(_attr(n if of is None else of, "val"), 0), {})
+        yield from ((number, depth, form) for number, levels in lists.items() for depth, form in levels.items())
+
+    return _walked(entries.where("path = 'word/numbering.xml'"), walk, {"num_id": "long", "ilvl": "long", "fmt": "string"}).drop("path")
+
+
+def docx_numbered(entries: DataFrame) -> DataFrame:
+    """``docx_paragraphs`` with ``prefix``, the counter or bullet of list paragraphs (null outside lists), by the package's own definitions."""
+    paragraphs = docx_paragraphs(entries)
+    listed = paragraphs.where("num_id is not null").select("file_id", "seq", "num_id", "ilvl")
+    return paragraphs.join(list_numbering(listed, parse_numbering(entries)), ["file_id", "seq"], "left").select(*paragraphs.columns, "prefix")
+
+
 def docx_links(entries: DataFrame) -> DataFrame:
     """(file_id, seq, kind, label, url, safe) of hyperlinks whose relationship has a safe target."""
 
@@ -284,10 +313,10 @@ def _inline(e: ET.Element) -> str:
             case "line-break":
                 out.append("\n")
             case "tab":
-                out.append(NBSP * 3)
+                out.append(NBSP * ODF_TAB)
             case "s":
                 n = _whole(_attr(c, "c"), 1)
-                out.append(NBSP * (n if n and 0 < n < 100 else 1))
+                out.append(NBSP * (n if n and 0 < n < BLANKS else 1))
             case _:
                 out.append(_inline(c))
         out.append(c.tail or "")
@@ -310,7 +339,7 @@ def _flow(parent: ET.Element, kind: str, deep: bool = False) -> Iterator[tuple]:
                 for row in _kids(e, "table-row"):
                     n = _whole(_attr(row, "number-rows-repeated"), 1)
                     cells = [*_row(row)]
-                    for _ in range(n if n and 0 < n < 1000 else 1):
+                    for _ in range(n if n and 0 < n < ROWS else 1):
                         yield from cells
             case _ if deep:
                 yield from _flow(e, kind, True)
@@ -341,6 +370,32 @@ def odf_text(entries: DataFrame) -> DataFrame:
     return _walked(entries.where("path = 'content.xml'"), walk, fields).drop("path")
 
 
+def parse_ods(entries: DataFrame) -> DataFrame:
+    """(file_id, sheet_no, name, row_no, row_repeat, seq, span, covered, text) of the sheets of content.xml, as runs: repeats are numbers here.
+
+    Each row begins with an entry of ``seq`` -1 that stands for the row. A cell's text is its paragraphs', else its value.
+    """
+
+    def walk(root: ET.Element) -> Iterator[tuple]:
+        for number, table in enumerate(_kids(_kid(_kid(root, "body"), "spreadsheet"), "table")):
+            for at, row in enumerate(_kids(table, "table-row")):
+                same = number, _attr(table, "name"), at, _whole(_attr(row, "number-rows-repeated"), 1)
+                yield *same, -1, 0, True, None
+                for seq, cell in enumerate(_kids(row, "table-cell", "covered-table-cell")):
+                    covered = _name(cell) == "covered-table-cell"
+                    text = "\n".join(map(_inline, _kids(cell, "p"))) or _attr(cell, "value") or _attr(cell, "date-value") or _attr(cell, "boolean-value") or ""
+                    yield *same, seq, 1 if covered else _whole(_attr(cell, "number-columns-repeated"), 1), covered, None if covered else text
+
+    fields = {"sheet_no": "long", "name": "string", "row_no": "long", "row_repeat": "long", "seq": "long", "span": "long", "covered": "boolean", "text": "string"}
+    return _walked(entries.where("path = 'content.xml'"), walk, fields).drop("path")
+
+
+def ods_grids(entries: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
+    """Dense rows of every sheet of an ODF spreadsheet, as ``sheet_grid`` gives them; repeats are copied up to the cap only."""
+    raw = parse_ods(entries)
+    return sheet_grid(ods_cells(raw, max_rows, max_cols), max_rows, max_cols, ods_extent(raw))
+
+
 def embedded_images(entries: DataFrame) -> DataFrame:
     """(file_id, path, mime) of package images that a part refers to; what can't be shown is dropped."""
     rels = parse_rels(entries).where("not external")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import batched
 from typing import NamedTuple
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import base_name
 from ..sources.files import cut_lineage
 from .archives import explode_archives
-from .packages import docx_paragraphs, odf_text, slide_text, workbook_grids
+from .packages import docx_numbered, odf_text, ods_grids, slide_text, workbook_grids
 from .triage import is_zip, with_route
 from .views import _runs, with_encoding, with_text
 
@@ -52,15 +53,16 @@ def _strings(data: bytes) -> Iterator[str]:
 
 
 def office_texts(files: DataFrame) -> DataFrame:
-    """(file_id, seq, text) of office packages: paragraphs, slides, ODF text, rows of sheets with tabs between cells."""
+    """(file_id, seq, text) of office packages: paragraphs with their list prefixes, slides, ODF text, rows of sheets with tabs between cells."""
     entries = cut_lineage(explode_archives(files.where(is_zip(F.col("content")))).where("content is not null"))
     parts = [
-        docx_paragraphs(entries).select("file_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), "seq", "text"),
+        docx_numbered(entries).select("file_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), "seq", F.concat_ws(" ", "prefix", "text").alias("text")),
         slide_text(entries).select("file_id", F.lit(1).alias("kind"), F.col("slide_no").cast("long").alias("part"), "seq", "text"),
         odf_text(entries).select("file_id", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), "seq", "text"),
         workbook_grids(entries).select("file_id", F.lit(3).alias("kind"), F.col("sheet_no").alias("part"), F.col("row").alias("seq"), F.array_join("cells", "\t").alias("text")),
+        ods_grids(entries).select("file_id", F.lit(4).alias("kind"), F.col("sheet_no").alias("part"), F.col("row").alias("seq"), F.array_join("cells", "\t").alias("text")),
     ]
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    found = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("file_id").orderBy("kind", "part", "seq")
     return found.select("file_id", (F.row_number().over(w) - 1).cast("long").alias("seq"), "text")
 

@@ -92,10 +92,10 @@ def sheet_extent(cells: DataFrame) -> DataFrame:
     return cells.groupBy("file_id", "sheet_no").agg((F.max("row") + 1).alias("total_rows"), (F.max("col") + 1).alias("total_cols"))
 
 
-def sheet_grid(cells: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> DataFrame:
-    """Dense rows of display strings, gaps empty; cells beyond the cap, or above row 0, are dropped before they are grouped."""
+def sheet_grid(cells: DataFrame, max_rows: int = 2000, max_cols: int = 50, extent: DataFrame | None = None) -> DataFrame:
+    """Dense rows of display strings, gaps empty; cells beyond the cap, or above row 0, are dropped before they are grouped. The extent is that of the cells if none is given."""
     cells = cells.where("row >= 0 and col >= 0")
-    extent = sheet_extent(cells)
+    extent = (sheet_extent(cells) if extent is None else extent).where("total_rows > 0 and total_cols > 0")
     rows, cols = F.least("total_rows", F.lit(max_rows)), F.least("total_cols", F.lit(max_cols))
     frame = extent.select(
         "file_id", "sheet_no", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("row"), cols.alias("n"),
@@ -108,17 +108,42 @@ def sheet_grid(cells: DataFrame, max_rows: int = 2000, max_cols: int = 50) -> Da
     return frame.join(shown, ["file_id", "sheet_no", "row"], "left").select("file_id", "sheet_no", "row", cell.alias("cells"), "truncated")
 
 
-def ods_cells(raw: DataFrame) -> DataFrame:
-    """Repeated rows are copied, repeated columns advance; of a repeat only the first cell has the text."""
+def _ods_runs(raw: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Row runs (keys, row_no, first_row, row_repeat) and cells with their column and the width of what stands left of them."""
+    keys = ["file_id", *(["sheet_no"] if "sheet_no" in raw.columns else [])]
     valid = lambda c, top: F.when(F.col(c).between(1, top), F.col(c)).otherwise(1)
-    rows = raw.select("file_id", "row_no", valid("row_repeat", 9999).alias("row_repeat")).distinct()
-    before = Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = raw.select(*keys, "row_no", valid("row_repeat", 9999).alias("row_repeat")).distinct()
     rows = rows.withColumn("first_row", F.coalesce(F.sum("row_repeat").over(before), F.lit(0)))
-    left = Window.partitionBy("file_id", "row_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    cells = raw.withColumn("col", F.coalesce(F.sum(valid("span", 999)).over(left), F.lit(0))).where("not covered")
-    both = cells.drop("row_repeat").join(rows, ["file_id", "row_no"])
-    copies = F.explode(F.sequence(F.col("first_row"), F.col("first_row") + F.col("row_repeat") - 1))
-    return both.select("file_id", copies.alias("row"), "col", F.col("text").alias("value"))
+    left = Window.partitionBy(*keys, "row_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    width = F.when(F.col("seq") < 0, 0).when(F.col("covered"), 0).otherwise(valid("span", 999))
+    cells = raw.withColumn("width", width).withColumn("col", F.coalesce(F.sum("width").over(left), F.lit(0)))
+    return rows, cells, keys
+
+
+def ods_cells(raw: DataFrame, max_rows: int | None = None, max_cols: int | None = None) -> DataFrame:
+    """Repeated rows are copied, repeated columns advance; of a repeat only the first cell has the text, covered cells take no column.
+
+    With ``max_rows`` and ``max_cols`` copies beyond them are never made. ``sheet_no``, where the input has it, parts sheets; a row with ``seq`` -1 is no cell, it stands for its row.
+    """
+    rows, cells, keys = _ods_runs(raw)
+    last = F.col("first_row") + F.col("row_repeat") - 1
+    if max_rows is not None:
+        rows, last = rows.where(F.col("first_row") < max_rows), F.least(last, F.lit(max_rows - 1))
+    cells = cells.where("not covered and seq >= 0")
+    if max_cols is not None:
+        cells = cells.where(F.col("col") < max_cols)
+    both = cells.drop("row_repeat").join(rows, [*keys, "row_no"])
+    return both.select(*keys, F.explode(F.sequence(F.col("first_row"), last)).alias("row"), "col", F.col("text").alias("value"))
+
+
+def ods_extent(raw: DataFrame) -> DataFrame:
+    """(file_id, sheet_no, total_rows, total_cols): all copies of rows, and the widest row with its covered cells."""
+    rows, cells, keys = _ods_runs(raw)
+    height = rows.groupBy(*keys).agg(F.sum("row_repeat").cast("long").alias("total_rows"))
+    width = F.sum("width") + F.count_if(F.col("covered") & (F.col("seq") >= 0))
+    widest = cells.groupBy(*keys, "row_no").agg(width.alias("n")).groupBy(*keys).agg(F.max("n").cast("long").alias("total_cols"))
+    return height.join(widest, keys)
 
 
 def assign_sections(records: DataFrame, sections: DataFrame) -> DataFrame:
@@ -155,19 +180,25 @@ def assemble_pieces(pieces: DataFrame, totals: DataFrame) -> DataFrame:
 def list_numbering(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
     """Prefix of each list paragraph: a shallower ordered item restarts deeper counters; bullets and unknown lists count nothing.
 
-    ``levels`` are each file's own definitions, or, without ``file_id``, the same for all files. Any depth: the paragraphs of a list and the levels
-    that it uses are paired, and each level counts how often a shallower one has passed.
+    ``levels`` are each file's own definitions, or, without ``file_id``, the same for all files; of a level defined twice any one counts. Paragraphs are
+    sorted once, by list: for each level in use, whose number the definitions bound, one running count of its items, and that count as it
+    was when a shallower item last passed.
     """
-    key = [c for c in ("file_id", "num_id", "ilvl") if c in levels.columns]
-    known = paragraphs.join(levels, key, "left").withColumn("ordered", F.col("fmt").isNotNull() & (F.col("fmt") != "bullet"))
-    used = known.where("ordered").select("file_id", "num_id", F.col("ilvl").alias("depth")).distinct()
-    # a paragraph counts at its own depth and restarts each deeper one
-    paired = known.where("ordered").join(used, ["file_id", "num_id"]).where("ilvl <= depth")
-    w = Window.partitionBy("file_id", "num_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = paired.withColumn("island", F.count(F.when(F.col("ilvl") < F.col("depth"), 1)).over(w)).where("ilvl = depth")
-    c = Window.partitionBy("file_id", "num_id", "depth", "island").orderBy("seq")
-    numbered = island.select("file_id", "seq", format_counter(F.row_number().over(c), F.col("fmt")).alias("prefix"))
-    return numbered.unionByName(known.where("not ordered").select("file_id", "seq", F.lit("•").alias("prefix")))
+    key = [c for c in ("file_id", "num_id") if c in levels.columns]
+    formats = levels.dropDuplicates([*key, "ilvl"]).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ilvl").cast("long"), "fmt"))).alias("formats"))
+    known = paragraphs.join(formats, key, "left").withColumn("fmt", F.try_element_at("formats", F.col("ilvl").cast("long"))).drop("formats")
+    ordered = F.col("fmt") != "bullet"
+    depths = sorted(r[0] for r in levels.where(ordered).select(F.col("ilvl").cast("long")).distinct().collect())
+    upto = Window.partitionBy("file_id", "num_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = {d: F.count(F.when(ordered & (F.col("ilvl") == d), 1)).over(upto) for d in depths}
+    counted = known.withColumns({f"__n{k}": at[d] for k, d in enumerate(depths)})
+    before = {f"__b{k}": F.last(F.when(ordered & (F.col("ilvl") < d), F.col(f"__n{k}")), ignorenulls=True).over(upto) for k, d in enumerate(depths)}
+    counted = counted.withColumns(before)
+    number = F.lit(None).cast("long")
+    for k, d in enumerate(depths):
+        number = F.when(F.col("ilvl") == d, F.col(f"__n{k}") - F.coalesce(f"__b{k}", F.lit(0))).otherwise(number)
+    prefix = F.when(ordered, format_counter(F.col("__number"), F.col("fmt"))).otherwise("•")
+    return counted.withColumn("__number", number).select("file_id", "seq", prefix.alias("prefix"))
 
 
 def archive_summary(entries: DataFrame) -> DataFrame:

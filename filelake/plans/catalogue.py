@@ -306,7 +306,7 @@ def _(spark, d):
 
 @query("ods_cells", """~ a as (select file_id, row_no, seq, covered, text, case when row_repeat between 1 and 9999 then row_repeat else 1 end as rr, case when span between 1 and 999 then span else 1 end as sp from fx_ods),
  r as (select file_id, row_no, rr, coalesce(sum(rr) over (partition by file_id order by row_no rows between unbounded preceding and 1 preceding), 0) as f from (select distinct file_id, row_no, rr from a)),
- c as (select *, coalesce(sum(sp) over (partition by file_id, row_no order by seq rows between unbounded preceding and 1 preceding), 0) as col from a)
+ c as (select *, coalesce(sum(case when covered then 0 else sp end) over (partition by file_id, row_no order by seq rows between unbounded preceding and 1 preceding), 0) as col from a)
  select file_id, cast(unnest(range(cast(f as bigint), cast(f + r.rr as bigint))) as bigint) as "row", cast(col as bigint) as col, text as value from c join r using (file_id, row_no) where not covered""", "fx_ods")
 def _(spark, d):
     return R.ods_cells(frame(spark, d, "fx_ods"))
@@ -345,11 +345,14 @@ ROMAN = "repeat('m', (n//1000)::int) || (['','c','cc','ccc','cd','d','dc','dcc',
 LETTERS = "case when n <= 26 then chr((96+n)::int) else chr((97+(n-27)//26)::int) || chr((97+(n-27)%26)::int) end"
 
 
+NUMBERED = f"""case when fmt = 'bullet' or fmt is null then '•' else case fmt when 'decimal' then n::varchar when 'lowerLetter' then {LETTERS} when 'upperLetter' then upper({LETTERS}) when 'lowerRoman' then {ROMAN} else upper({ROMAN}) end || '.' end"""
+DEPTHS = (0, 1, 2, 3, 9)
+
+
 @query("list_numbering", f"""~ k as (select p.*, l.fmt, coalesce(l.fmt <> 'bullet', false) as o from fx_paras p left join fx_levels l using (file_id, num_id, ilvl)),
- c as (select a.file_id, a.seq, a.fmt, a.num_id, a.ilvl, count(b.seq) as g from k a left join k b on b.file_id = a.file_id and b.num_id = a.num_id and b.o and b.ilvl < a.ilvl and b.seq < a.seq where a.o group by all),
- m as (select *, row_number() over (partition by file_id, num_id, ilvl, g order by seq) as n from c)
- select file_id, seq, case fmt when 'decimal' then n::varchar when 'lowerLetter' then {LETTERS} when 'upperLetter' then upper({LETTERS}) when 'lowerRoman' then {ROMAN} else upper({ROMAN}) end || '.' as prefix from m
- union all select file_id, seq, '•' from k where not o""", "fx_paras", "fx_levels")
+ c as (select *, case ilvl {" ".join(f"when {d} then count(*) filter (where o and ilvl = {d}) over w" for d in DEPTHS)} end as c, {", ".join(f"count(*) filter (where o and ilvl < {d}) over w as g{d}" for d in DEPTHS)} from k window w as (partition by file_id, num_id order by seq)),
+ m as (select *, case ilvl {" ".join(f"when {d} then g{d}" for d in DEPTHS)} end as g from c), n as (select *, c - min(c) over (partition by file_id, num_id, ilvl, o, g) + 1 as n from m)
+ select file_id, seq, {NUMBERED} as prefix from n""", "fx_paras", "fx_levels")
 def _(spark, d):
     return R.list_numbering(frame(spark, d, "fx_paras"), frame(spark, d, "fx_levels"))
 

@@ -23,7 +23,7 @@ from ..operators import views as V
 from ..sources import ranges
 from ..sources.files import cut_lineage, read_files, shared_path, stream_files, write_by_viewer
 from ..streaming import streams
-from .catalogue import ROUTED, SNIFF, coded, files, query
+from .catalogue import ROMAN, ROUTED, SNIFF, coded, files, query
 from .fixtures import frame
 
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -42,6 +42,8 @@ def _parts(ids: list[int], texts: list[str]):
     yield "word/document.xml", f'<w:document {NS}><w:body>{p}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
     rel = lambda i, target, mode="": f'<Relationship Id="rId{i}" Type="x" Target="{target}"{mode}/>'
     rels = lambda body: f'<Relationships xmlns="urn:rels">{body}</Relationships>'
+    lists = "".join(f'<w:abstractNum w:abstractNumId="{n}"><w:lvl w:ilvl="0"><w:numFmt w:val="{form}"/></w:lvl><w:lvl w:ilvl="1"/></w:abstractNum>' for n, form in ((3, "upperRoman"), (5, "bullet")))
+    yield "word/numbering.xml", f'<w:numbering {NS}>{lists}<w:num w:numId="7"><w:abstractNumId w:val="3"/></w:num><w:num w:numId="8"><w:abstractNumId w:val="5"/></w:num></w:numbering>'
     yield "word/_rels/document.xml.rels", rels("".join(rel(i, f"https://x.example/{i}" if i % 3 else "javascript:x", ' TargetMode="External"') for i in ids) + rel("img", "media/i.bin"))
     yield "word/media/i.bin", PNG
     yield "word/media/unused.png", PNG
@@ -114,6 +116,36 @@ def _(spark, d):
     return P.docx_paragraphs(_entries(spark, d))
 
 
+@query("parse_numbering", f"{DOCS} select distinct file_id, unnest([7, 7, 8, 8]) as num_id, unnest([0, 1, 0, 1]) as ilvl, unnest(['upperRoman', 'decimal', 'bullet', 'decimal']) as fmt from t", "fx_opens")
+def _(spark, d):
+    return P.parse_numbering(_entries(spark, d))
+
+
+@query("docx_numbered", f"""{DOCS}, l as (select *, doc_id % 2 as ilvl, count(*) filter (where doc_id % 2 = 0) over w as top, row_number() over w as i from t where doc_id % 3 = 0 window w as (partition by file_id order by k)),
+ m as (select *, case ilvl when 0 then top else i - coalesce(max(case when ilvl = 0 then i end) over (partition by file_id order by k), 0) end as n from l)
+ select file_id, k as seq, case ilvl when 0 then upper({ROMAN}) else n::varchar end || '.' as prefix from m union all select file_id, k, null from t where doc_id % 3 <> 0 union all select file_id, count(*), null from t group by file_id""", "fx_opens")
+def _(spark, d):
+    return P.docx_numbered(cut_lineage(_entries(spark, d))).select("file_id", "seq", "prefix")
+
+
+def _ods(ids, texts):
+    """A spreadsheet of two sheets: a row per text, some of them repeated, with covered and repeated cells; and one with a repeat beyond any cap."""
+    cell = lambda text, more="": f"<table-cell{more}><p>{escape(text)}</p></table-cell>"
+    rows = "".join(
+        f"<table-row{' number-rows-repeated="3"' if k % 5 == 0 else ''}>{cell(t)}<covered-table-cell/><table-cell value='{i}' number-columns-repeated='2'/>{cell('e')}</table-row>" for k, (i, t) in enumerate(zip(ids, texts, strict=True))
+    )
+    more = f"<table-row/><table-row number-rows-repeated='9999'>{cell('r')}</table-row><table-row number-rows-repeated='10000'>{cell('s')}</table-row>"
+    return _zip([("content.xml", f"<document><body><spreadsheet><table name='A'>{rows}</table><table name='B'>{more}</table></spreadsheet></body></document>")])
+
+
+@query("ods_grids", f"""{DOCS}, r as (select *, case when k % 5 = 0 then 3 else 1 end as rr from t), f as (select *, coalesce(sum(rr) over (partition by file_id order by k rows between unbounded preceding and 1 preceding), 0) as first, sum(rr) over (partition by file_id) as total from r),
+ g as (select file_id, 0 as sheet_no, cast(first + unnest(range(0, rr)) as bigint) as "row", text || '|' || doc_id || '||e|' as cells, total > 40 as truncated from f) select * from g where "row" < 40
+ union all select file_id, 1, unnest(range(0, 40)), case when unnest(range(0, 40)) = 0 then '' else 'r' end, true from (select distinct file_id from t)""", "fx_opens")
+def _(spark, d):
+    entries = cut_lineage(explode_archives(_grouped(spark, d, _ods)))
+    return P.ods_grids(entries, 40, 50).withColumn("cells", F.array_join("cells", "|"))
+
+
 @query("docx_links", f"{DOCS} select file_id, k as seq, 'link' as kind, 'L' || doc_id as label, 'https://x.example/' || doc_id as url, true as safe from t where doc_id % 3 <> 0", "fx_opens")
 def _(spark, d):
     return P.docx_links(_entries(spark, d))
@@ -138,8 +170,9 @@ def _(spark, d):
 @query("unreadable_files", f"{ROUTED} select file_id from r where viewer_id = 'office'", "fx_files")
 def _(spark, d):
     # ids of real packages are negative: they can be read, the made-up heads can't
-    real = _grouped(spark, d, lambda ids, texts: _zip(_parts(ids, texts))).select((-1 - F.col("file_id")).alias("file_id"), F.lit("p.docx").alias("name"), "content")
-    rows = cut_lineage(files(spark, d).unionByName(real))
+    real = _grouped(spark, d, lambda ids, texts: _zip(_parts(ids, texts))).select((-1 - 2 * F.col("file_id")).alias("file_id"), F.lit("p.docx").alias("name"), "content")
+    sheets = _grouped(spark, d, _ods).select((-2 - 2 * F.col("file_id")).alias("file_id"), F.lit("s.ods").alias("name"), "content")
+    rows = cut_lineage(files(spark, d).unionByName(real).unionByName(sheets))
     return P.unreadable_files(triage.route_files(rows), readers.office_texts(rows).select("file_id"))
 
 

@@ -178,5 +178,5 @@ def test_office_texts_are_extracted(spark):
     rows = [(1, "p.docx", _zip(_parts([3], ["a <b>"]))), (2, "q.docx", b"PK\x03\x04 broken package"), (3, "n.txt", b"one\ntwo")]
     found = readers.extract_all(spark.createDataFrame(rows, "file_id long, name string, content binary")).collect()
     texts = lambda k: [r.text for r in sorted(found, key=lambda r: r.seq) if r.file_id == k]
-    assert texts(1) == ["a <b>    L3", "cell", "a <b>\n3", "H3", "a <b>  x", "item", "a <b>\t300%\ti3"]
+    assert texts(1) == ["1. a <b>    L3", "cell", "a <b>\n3", "H3", "a <b>  x", "item", "a <b>\t300%\ti3"]
     assert texts(2)[0] is None and "broken package" in " ".join(texts(2)[1:]) and texts(3) == ["one", "two"]
