@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import excel_serial_to_date, format_bytes, format_counter, format_percent, num_fmt_kind
+from .scans import BLOCK, last_before, numbered
 
 
 def resolve_rels(refs: DataFrame, rels: DataFrame) -> DataFrame:
@@ -52,17 +53,16 @@ def resolve_cells(cells: DataFrame, shared: DataFrame, xf: DataFrame, fmts: Data
     return styled.select("file_id", "sheet_no", "pos", F.col("ref_row").alias("row"), F.col("ref_col").alias("col"), text.alias("value"))
 
 
-def implied_positions(cells: DataFrame) -> DataFrame:
+def implied_positions(cells: DataFrame, width: int = BLOCK) -> DataFrame:
     """Positions of cells in document order: (file_id, sheet_no, pos, row, col).
 
     A cell without a column stands right of the cell before it, across rows too. One without a row
     stands in its row element ``row_pos``, of number ``row_no``; cells come without these two
-    columns where each has a row of its own.
+    columns where each has a row of its own. A sheet's cells spread over blocks of ``width`` positions.
     """
-    w = Window.partitionBy("file_id", "sheet_no").orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = cells.withColumn("n", F.row_number().over(w))
-    seen = numbered.withColumn("seen", F.last(F.when(F.col("ref_col").isNotNull(), F.struct("ref_col", "n")), ignorenulls=True).over(upto))
+    keys = ["file_id", "sheet_no"]
+    counted = numbered(cells, keys, "pos", width)
+    seen = last_before(counted, keys, "pos", F.when(F.col("ref_col").isNotNull(), F.struct("ref_col", "n")), width).withColumnRenamed("last", "seen")
     col = F.coalesce(F.col("seen.ref_col") + F.col("n") - F.col("seen.n"), F.col("n") - 1).alias("col")
     if "row_pos" in cells.columns:
         seen = seen.join(implied_rows(cells), ["file_id", "sheet_no", "row_pos"]).withColumn("ref_row", F.coalesce("ref_row", "row"))
@@ -146,24 +146,26 @@ def ods_extent(raw: DataFrame) -> DataFrame:
     return height.join(widest, keys)
 
 
-def assign_sections(records: DataFrame, sections: DataFrame) -> DataFrame:
-    """As-of: the section with the greatest start at or before a record; one shuffle by file, no range join."""
+def assign_sections(records: DataFrame, sections: DataFrame, width: int = BLOCK) -> DataFrame:
+    """As-of: the section with the greatest start at or before a record; no range join, and a file's records spread over blocks of ``width`` offsets."""
     both = sections.select("file_id", F.col("start").alias("offset"), F.col("name"), F.lit(0).alias("side")).unionByName(
         records.select("file_id", "offset", F.lit(None).cast("string").alias("name"), F.lit(1).alias("side"))
     )
-    w = Window.partitionBy("file_id").orderBy("offset", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("section", F.last("name", ignorenulls=True).over(w)).where("side = 1 and section is not null").select("file_id", "offset", "section")
+    placed = last_before(both, ["file_id"], "offset", F.col("name"), width, ("side",))
+    return placed.where("side = 1 and last is not null").select("file_id", "offset", F.col("last").alias("section"))
 
 
-def merge_continued(records: DataFrame, continues: int = 60) -> DataFrame:
-    """A continuing record's data is appended to the record before it; without one it stays as an error row (rec_id null)."""
-    w = Window.partitionBy("file_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = records.withColumn("island", F.count(F.when(F.col("rec_id") != continues, 1)).over(w))
-    merged = island.groupBy("file_id", "island").agg(
-        F.min("offset").alias("offset"), F.min_by("rec_id", "offset").alias("rec_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "h"))), lambda x: x["h"]), "").alias("h"),
-    )
-    return merged.select("file_id", "offset", F.when(F.col("island") > 0, F.col("rec_id")).alias("rec_id"), "h")
+def merge_continued(records: DataFrame, continues: int = 60, width: int = BLOCK) -> DataFrame:
+    """A continuing record's data is appended to the record before it; without one it stays as an error row (rec_id null).
+
+    The record that a row belongs to is found in blocks of ``width`` offsets; only a record and its own continuations meet in one row.
+    """
+    first = F.when(F.coalesce(F.col("rec_id") != continues, F.lit(False)), F.struct("offset", "rec_id"))
+    owned = last_before(records.select("file_id", "offset", "rec_id", "h"), ["file_id"], "offset", first, width)
+    merged = owned.groupBy("file_id", F.col("last.offset").alias("start"), F.col("last.rec_id").alias("rec_id")).agg(
+        F.min("offset").alias("offset"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "h"))), lambda x: x["h"]), "").alias("h")
+    )
+    return merged.select("file_id", "offset", "rec_id", "h")
 
 
 def assemble_pieces(pieces: DataFrame, totals: DataFrame) -> DataFrame:

@@ -89,11 +89,13 @@ select cast(floor(l_orderkey / 50) as bigint) as file_id, row_number() over (par
 select f.file_id, cast(floor(n_nationkey / 5) as bigint) as num_id, case n_nationkey % 5 when 4 then 9 else n_nationkey % 5 end as ilvl, case (n_nationkey + f.file_id) % 7 when 0 then 'decimal' when 1 then 'lowerLetter' when 2 then 'lowerRoman' when 3 then 'bullet' when 4 then 'upperRoman' when 5 then 'decimal' else 'upperLetter' end as fmt from (select distinct cast(floor(l_orderkey / 50) as bigint) as file_id from lineitem) f cross join nation where n_nationkey < 10
 """,) * 2,
     "fx_records": (r"""
-select user_id % 50 as file_id, event_id * 10 as offset, case event_id % 7 when 0 then 6 when 1 then 519 when 2 then 60 when 3 then 515 when 4 then 6 when 5 then 513 else 519 end as rec_id, concat('A', event_id % 10) as h from events
+select case when event_id % 3 = 0 then 0 else 1 + user_id % greatest(50, cast(floor((select count(*) from events) / 1000) as bigint)) end as file_id, event_id * 10 as offset, case event_id % 7 when 0 then 6 when 1 then 519 when 2 then 60 when 3 then 515 when 4 then 6 when 5 then 513 else 519 end as rec_id, concat('A', event_id % 10) as h from events
 """,) * 2,
     "fx_sections": (r"""
-select user_id % 50 as file_id, min(event_id * 10) as start, concat('S', cast(floor(event_id / 500) as bigint)) as name from events where event_id % 3 = 0 group by user_id % 50, cast(floor(event_id / 500) as bigint)
-""",) * 2,
+select file_id, min(offset) as start, concat('S', cast(floor(offset / 5000) as bigint)) as name from fx_records where rec_id <> 60 group by file_id, cast(floor(offset / 5000) as bigint)
+""", r"""
+select file_id, min("offset") as start, concat('S', cast(floor("offset" / 5000) as bigint)) as name from fx_records where rec_id <> 60 group by file_id, cast(floor("offset" / 5000) as bigint)
+"""),
     "fx_pieces": (r"""
 select conv_id as file_id, turn as piece_no, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as cp_start, text from conversations
 """,) * 2,
@@ -139,6 +141,8 @@ def with_fixtures(sql: str, *names: str) -> str:
     for n in names:
         if n in ("fx_md",) and "fx_lines" not in order:
             order.append("fx_lines")
+        if n in ("fx_sections",) and "fx_records" not in order:
+            order.append("fx_records")
         if n in ("fx_chunks",) and "fx_files" not in order:
             order.append("fx_files")
         if n not in order:
