@@ -420,14 +420,14 @@ def _(spark, d):
 
 @query("latest_open", "select user_id, max(generation) as generation, arg_max(ts, generation) as ts from fx_opens group by 1", "fx_opens")
 def _(spark, d):
-    return streams.run_once(frame(spark, d, "fx_opens"), streams.latest_open, "complete")
+    return streams.newest(streams.run_once(frame(spark, d, "fx_opens"), streams.latest_open, ["user_id", "day"]))
 
 
 @query("scan_progress", "~ t as (select file_id, length(h)//2 as total from fx_files), c as (select file_id, sum(length(h)//2) as b from fx_chunks group by 1) select file_id, cast(b as bigint) as bytes_read, total, cast(floor(b*100/greatest(total,1)) as bigint) as percent from c join t using (file_id)", "fx_files", "fx_chunks")
 def _(spark, d):
     total = frame(spark, d, "fx_files").select("file_id", (F.length("h") / 2).cast("long").alias("total"))
     chunks = frame(spark, d, "fx_chunks").select("file_id", (F.length("h") / 2).cast("long").alias("bytes"))
-    return streams.run_once(chunks.join(total, "file_id"), streams.scan_progress, "complete")
+    return streams.run_once(chunks.join(total, "file_id"), streams.scan_progress, ["file_id"])
 
 
 MD = r"""~ l as (select *, line_no % 12 as k, regexp_replace(text, '^[ \t\f\r]+', '') as t from fx_md),

@@ -1,4 +1,4 @@
-"""Stateless and aggregating streams; each gives what its batch form gives."""
+"""Streams without state, with aggregates in update mode, and with a state per file; each gives what its batch form gives."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,18 +20,60 @@ from ..sources.files import shared_path
 CUT = re.compile(TAIL.removesuffix("$").encode("latin-1") + rb"\Z")
 
 
-def run_once(rows: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """What ``make`` gives of ``rows`` as a stream, run over all that is there: written to the shared folder, read from there."""
+class Upserts:
+    """What a stream in update mode has given so far: each batch writes only the rows that it changed, as a folder of its own.
+
+    A batch that runs again replaces its folder, so replays do no harm. Read, the newest row of each key counts. ``compact``
+    folds the folders of batches that are done into one, which is written whole before they are dropped from reading.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema):
+        self.spark, self.path, self.keys, self.schema = spark, path, keys, schema
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self) -> DataFrame:
+        return self._newest(self.spark.read.schema(self.schema).parquet(self.path))
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        columns = self.schema.names
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*[c for c in columns if c not in self.keys]), "batch").alias("row"))
+        return newest.select(*self.keys, "row.*").select(*columns)
+
+    def compact(self, upto: int) -> None:
+        """Batches up to ``upto`` as one, under its number; later ones stay as they are."""
+        manager = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = manager.Path(self.path)
+        store = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = sorted(int(f.getPath().getName().removeprefix("batch=")) for f in store.listStatus(root) if f.getPath().getName().startswith("batch="))
+        done = [k for k in done if k <= upto]
+        if len(done) > 1:
+            folded = self._newest(self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*[f"{self.path}/batch={k}" for k in done]))
+            folded.write.mode("overwrite").parquet(f"{self.path}/_folded")
+            # what has been folded wins over the older folders from here on, also if the next steps are cut short
+            store.delete(manager.Path(f"{self.path}/batch={done[-1]}"), True)
+            store.rename(manager.Path(f"{self.path}/_folded"), manager.Path(f"{self.path}/batch={done[-1]}"))
+            for k in done[:-1]:
+                store.delete(manager.Path(f"{self.path}/batch={k}"), True)
+
+
+def run_once(rows: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """What ``make`` gives of ``rows`` as a stream, run over all that is there: written to the shared folder, read from there.
+
+    Without ``keys`` rows are appended; with them the stream runs in update mode, and the newest row of each key is the result.
+    """
     spark, source, out = rows.sparkSession, shared_path(rows.sparkSession), shared_path(rows.sparkSession)
     rows.write.parquet(source)
-    found = make(spark.readStream.schema(rows.schema).parquet(source))
-    sink = found.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
-    if mode == "append":
-        sink = sink.format("parquet").option("path", out)
-    else:  # each batch holds the whole result so far
-        sink = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-    sink.start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out)
+    reader = spark.readStream.schema(rows.schema)
+    found = make((reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source))
+    sink = found.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    if keys is None:
+        sink.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(found.schema).parquet(out)
+    upserts = Upserts(spark, out, keys, found.schema)
+    sink.outputMode("update").foreachBatch(upserts.write).start().awaitTermination()
+    return upserts.read()
 
 
 def triage_stream(files: DataFrame) -> DataFrame:
@@ -39,14 +81,24 @@ def triage_stream(files: DataFrame) -> DataFrame:
     return route_files(files)
 
 
-def latest_open(events: DataFrame) -> DataFrame:
-    """The newest open per user; on a stream, in update mode, state is one row a user."""
-    newest = events.groupBy("user_id").agg(F.max("generation").alias("generation"), F.max_by("ts", "generation").alias("ts"))
-    return newest.select("user_id", "generation", "ts")
+def latest_open(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """(user_id, day, generation, ts): the newest open of each user and day, for a stream in update mode.
+
+    State is a row per user and day and ends when the watermark, ``late`` behind the newest event, has passed the day; opens of days that are
+    over by then are dropped. ``newest`` folds the days.
+    """
+    days = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day").alias("day"))
+    opens = days.agg(F.max("generation").alias("generation"), F.max_by("ts", "generation").alias("ts"))
+    return opens.select("user_id", F.col("day.start").alias("day"), "generation", "ts")
+
+
+def newest(opens: DataFrame) -> DataFrame:
+    """(user_id, generation, ts): over all days."""
+    return opens.groupBy("user_id").agg(F.max("generation").alias("generation"), F.max_by("ts", "generation").alias("ts"))
 
 
 def scan_progress(chunks: DataFrame) -> DataFrame:
-    """Bytes read of each file's total, as whole percent."""
+    """(file_id, bytes_read, total, percent): bytes read of each file's total, as whole percent; on a stream in update mode a batch gives the files that went on."""
     read = chunks.groupBy("file_id").agg(F.sum("bytes").alias("bytes_read"), F.max("total").alias("total"))
     return read.withColumn("percent", F.floor(F.col("bytes_read") * 100 / F.greatest("total", F.lit(1))).cast("long"))
 
