@@ -87,10 +87,10 @@ def _entries(spark, d):
 DOCS = "~ t as (select cast(floor(doc_id / 50) as bigint) as file_id, doc_id, coalesce(text, '') as text, row_number() over (partition by floor(doc_id / 50) order by doc_id) - 1 as k from documents)"
 
 
-@query("parse_rels", f"""{DOCS} select file_id, 'word/_rels/document.xml.rels' as part, 'rId' || doc_id as rel_id, case when doc_id % 3 = 0 then 'javascript:x' else 'https://x.example/' || doc_id end as target, true as external from t
- union all select distinct file_id, 'word/_rels/document.xml.rels', 'rIdimg', 'media/i.bin', false from t union all select distinct file_id, 'xl/_rels/workbook.xml.rels', 'rId1', 'worksheets/sheet1.xml', false from t union all select file_id, 'ppt/_rels/presentation.xml.rels', 'rId' || doc_id, 'slides/s' || doc_id || '.xml', false from t""", "fx_opens")
+@query("parse_rels", f"""{DOCS} select file_id, 'word/_rels/document.xml.rels' as part, 'rId' || doc_id as rel_id, case when doc_id % 3 = 0 then 'javascript:x' else 'https://x.example/' || doc_id end as target, true as external, 'x' as type from t
+ union all select distinct file_id, 'word/_rels/document.xml.rels', 'rIdimg', 'media/i.bin', false, 'x' from t union all select distinct file_id, 'xl/_rels/workbook.xml.rels', 'rId1', 'worksheets/sheet1.xml', false, 'x' from t union all select file_id, 'ppt/_rels/presentation.xml.rels', 'rId' || doc_id, 'slides/s' || doc_id || '.xml', false, 'x' from t""", "fx_opens")
 def _(spark, d):
-    return P.parse_rels(_entries(spark, d)).drop("type")
+    return P.parse_rels(_entries(spark, d))
 
 
 @query("parse_workbook", f"""{DOCS} select distinct file_id, 'sheet' as kind, 0 as idx, 'S' as name, 'rId1' as value from t union all select file_id, 'shared', k, null, text from t
@@ -268,12 +268,14 @@ def _csv(data: bytes):
     return (line.split(",")[0] for line in data.decode("utf-8", "replace").split("\n"))
 
 
-@query("register_reader", f"{ROUTED} select case when extension = 'csv' and viewer_id <> 'code' then 'first_cell' else viewer_id end as viewer_id, count(*) as files from r group by 1", "fx_files")
+@query("register_reader", f"{ROUTED}, v as (select r.file_id, regexp_split_to_array(coalesce(text, ''), '\\n') as lines from r join documents on doc_id = r.file_id where extension = 'csv' and viewer_id <> 'code'), x as (select file_id, 'first_cell' as viewer_id, unnest(range(0, len(lines))) as seq, split_part(unnest(lines), ',', 1) as text from v) select * from x where seq > 0 union all select null, case when extension = 'csv' and viewer_id <> 'code' then 'first_cell' else viewer_id end, count(*), null from r group by 2", "fx_files")
 def _(spark, d):
-    # by extension it comes after the fixed readers, before any signature counts
+    # by extension it comes after the fixed readers, before any signature counts; its rows are what the extractor gives; first lines hold the made-up heads
     more = readers.register_reader((), "first_cell", ["csv"], lambda: F.lit(False), lambda: F.col("extension") == "csv", _csv)
     rows = triage.with_route(files(spark, d), [(r.viewer_id, r.extensions, r.sniff, r.matches) for r in more])
-    return rows.groupBy("viewer_id").agg(F.count("*").alias("files"))
+    counts = rows.groupBy("viewer_id").agg(F.count("*").alias("seq")).select(F.lit(None).cast("long").alias("file_id"), "viewer_id", "seq", F.lit(None).cast("string").alias("text"))
+    found = readers.extract_all(files(spark, d), more).where("viewer_id = 'first_cell' and seq > 0")
+    return found.select("file_id", "viewer_id", "seq", "text").unionByName(counts)
 
 
 @query("extract_all")

@@ -100,7 +100,7 @@ select file_id, min("offset") as start, concat('S', cast(floor("offset" / 5000)
 select conv_id as file_id, turn as piece_no, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as cp_start, text from conversations
 """,) * 2,
     "fx_md": (r"""
-select file_id, line_no, case line_no % 12 when 1 then concat('## ', text, ' ##') when 2 then '```py' when 3 then concat('code ', text) when 4 then '```' when 5 then concat('> ', text) when 6 then concat('- [', case when file_id % 2 = 0 then 'x' else ' ' end, '] ', text) when 7 then concat('see [a](https://x.example/', line_no, ') and ![b](img.png) `[no](https://n.example)`') when 8 then '***' when 9 then '' when 10 then substr(text, 1, 20) when 11 then '---' else '' end as text from fx_lines
+select file_id, line_no, case line_no % 12 when 1 then concat('## ', text, ' ##') when 2 then '```py' when 3 then concat('code ', text) when 4 then '```' when 5 then concat('> ', text) when 6 then concat('- [', case when file_id % 2 = 0 then 'x' else ' ' end, '] ', text) when 7 then concat('see [a](https://x.example/', line_no, ') and ![b](img.png) `[no](https://n.example)`') when 8 then '***' when 9 then '' when 10 then text when 11 then '---' else '' end as text from fx_lines
 """,) * 2,
     "fx_pages": (r"""
 select page_id, concat(html, '<script type="module" src="./a', page_id % 5, '.js"></script><link rel="x" href="s.css"><script src="//cdn.example/z.js"></script><link href="i', page_id % 3, '.ico">') as html from pages
