@@ -430,3 +430,21 @@ def test_pipeline_stages_on_hard_rows(spark, sf_dir):
                 assert len(out) == n
             if name == "bpe_encoding":
                 assert len(out) == n and all(r.n_tokens == len(r.ids) for r in out)
+
+
+SHORT_ITEMS = [(1, "Name the largest planet."), (2, "3 + 4 = 7 ?"), (3, "太阳系中最大的行星是什么？"), (4, "最大行星？"), (5, "the end"), (6, None), (7, ""), (8, "12, 15, 18 and 21, 40?"), (9, "小明有 12 个苹果，吃了 5 个，还剩几个？")]
+
+
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, 0])
+def test_decontamination_of_short_numeric_and_unspaced_items(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+    texts = {
+        10: "Quiz: name the largest planet, please", 11: "rename the largest planets", 12: "we know 3 + 4 = 7, or not", 13: "3 + 4 = 8 ?", 14: "请问太阳系中最大的行星是什么？谢谢",
+        15: "太阳系中最小的卫星叫什么", 16: "问：最大行星？", 17: "this is the end of it", 18: "numbers (12, 15, 18 and 21, 40) of a list", 19: "12, 18, 15 and 21, 40?",
+        20: "题目：小明有 30 个苹果，吃了 8 个，还剩几个？", 21: None, 22: "", 23: "小明有 7 个苹果，吃了 7 个，还剩几个？", 24: "word " * 50_000 + "name the largest planet",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()] * 2, "doc_id long, text string")
+    bench = spark.createDataFrame(SHORT_ITEMS, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.exact) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(10, 1, True), (12, 2, True), (14, 3, True), (16, 4, True), (18, 8, True), (20, 9, False), (24, 1, True)]
+    assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {11, 13, 15, 17, 19, 21, 22, 23}
