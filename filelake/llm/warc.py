@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -27,6 +28,8 @@ CRLF = b"\r\n"
 HEADER_STEP, MAX_HEADER = 8_192, 64 << 20
 #: The greatest length of a block, likewise: more than a Spark row of two gigabytes takes anyway.
 MAX_BLOCK = (1 << 31) - MAX_HEADER
+#: Bytes of a member's records that wait for its checks.
+HELD = 4 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -106,104 +109,189 @@ class _Window:
             self.fill(self.base + len(self.buf) + 1)
 
 
-def _parse(data: bytes) -> tuple[dict | None, int, str]:
-    """The record at the start of ``data``: (fields, its length with the closing lines, reason of failure).
+def _digest(data: bytes, told: str) -> tuple[str, str]:
+    """The SHA-1 of ``data`` in base32, and "", "wrong", or "unknown" if ``told`` is by another algorithm or absent."""
+    sha = hashlib.sha1(data).digest()
+    found, (name, _, value) = base64.b32encode(sha).decode(), told.strip().partition(":")
+    if name.lower().replace("-", "") != "sha1" or not value:
+        return found, "unknown" if told.strip() else ""
+    return found, "" if value.upper() == found or value.lower() == sha.hex() else "wrong"
+
+
+def _fields(block: bytes) -> dict | None:
+    """Header lines by lower-case name; a line that begins with a blank or tab goes on with the one before."""
+    fields, name = {}, None
+    for line in block.split(CRLF)[1:]:
+        if line[:1] in (b" ", b"\t"):
+            if name is None:
+                return None
+            fields[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        name, colon, value = line.partition(b":")
+        if not colon:
+            return None
+        name = name.strip().lower().decode("utf-8", "replace")
+        fields[name] = value.strip().decode("utf-8", "replace")
+    return fields
+
+
+def _parse(data: bytes | bytearray, at: int = 0) -> tuple[dict | None, int, str]:
+    """The record at offset ``at`` of ``data``: (fields, its length with the closing lines, reason of failure).
 
     A failed record has a length where its own leads to the closing lines, or, if truncated, might.
+    A payload digest is checked if it is a SHA-1 (base32 or hex); of other algorithms ``note`` tells that it was not.
     """
-    if not data.startswith(VERSION):
+    if not data.startswith(VERSION, at):
         return None, 0, "no version line"
     # most false heads show in the line behind theirs
-    first = data.find(CRLF, 0, 256) + 2
+    first = data.find(CRLF, at, at + 256) + 2
     second = data.find(CRLF, first, first + 4096)
     if second > first > 1 and data.find(b":", first, second) < 0:
         return None, 0, "malformed header"
-    stop = data.find(CRLF * 2, 0, MAX_HEADER)
+    stop = data.find(CRLF * 2, at, at + MAX_HEADER)
     if stop < 0:
-        torn = any(b":" not in line for line in data[:MAX_HEADER].split(CRLF)[1:-1])
+        torn = any(b":" not in line and line[:1] not in (b" ", b"\t") for line in data[at : at + MAX_HEADER].split(CRLF)[1:-1])
         return None, 0, "malformed header" if torn else "no end of headers"
-    fields = {}
-    for line in data[:stop].split(CRLF)[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            return None, 0, "malformed header"
-        fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    fields = _fields(bytes(data[at:stop]))
+    if fields is None:
+        return None, 0, "malformed header"
     size = fields.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         return None, 0, "no content length"
-    end = stop + 4 + int(size)
-    if int(size) > MAX_BLOCK:
+    if len(size) > 18 or int(size) > MAX_BLOCK:
         return None, 0, "block too long"
+    start, end = stop + 4, stop + 4 + int(size)
+    length = end + 4 - at
     if len(data) < end + 4:
-        return None, end + 4, "truncated block"
+        return None, length, "truncated block"
     if data[end : end + 4] != CRLF * 2:
         return None, 0, "length mismatch"
-    head, gap, payload = data[stop + 4 : end].partition(CRLF * 2)
     if fields.get("content-type", "").startswith("application/http"):
-        if not gap:
-            return None, end + 4, "no HTTP head"
-        for line in head.split(CRLF)[1:]:
+        gap = data.find(CRLF * 2, start, end)
+        if gap < 0:
+            return None, length, "no HTTP head"
+        for line in data[start:gap].split(CRLF)[1:]:
             name, _, value = line.partition(b":")
             if name.strip().lower() == b"content-length" and value.strip().isdigit():
                 fields["http-length"] = int(value)
-    else:
-        payload = data[stop + 4 : end]
-    fields["payload"] = payload
-    digest = fields.get("warc-payload-digest", "").partition(":")[2].upper()
+        start = gap + 4
+    fields["payload"] = bytes(data[start:end])
+    told = fields.get("warc-payload-digest", "")
+    fields["note"], fields["digest"] = "", told.partition(":")[2].upper()
     if fields.get("warc-type") != "revisit":
-        found = sha1_base32(payload)
-        if digest and digest != found:
-            return None, end + 4, "payload digest mismatch"
-        digest = found
-    fields["digest"] = digest
-    return fields, end + 4, ""
-
-
-def _member_at(window: _Window, at: int) -> tuple[bytes | None, int, str]:
-    """Decompressed member at an offset and where it ends; the first bytes must be a version line."""
-    z, out, size, pos = zlib.decompressobj(31), [], 0, at
-    try:
+        fields["digest"], state = _digest(fields["payload"], told)
+        if state == "wrong":
+            return None, length, "payload digest mismatch"
+        fields["note"] = "digest not checked" if state else ""
+    return fields, length, ""
+
+
+class _Member:
+    """The records of a gzip member, unpacked piece by piece; afterwards ``end``, ``whole`` and ``reason`` are known.
+
+    ``whole`` tells that the member's own checks hold. Of a damaged one everything up to the damage is unpacked, to the byte.
+    """
+
+    def __init__(self, window: _Window, at: int, step: int = 16_384):
+        self.window, self.end, self.step, self.whole, self.reason = window, at, step, False, ""
+
+    def pieces(self):
+        z, step = zlib.decompressobj(31), 1024
         while not z.eof:
-            if not window.fill(pos + 1):
-                return None, pos, "truncated member"
-            piece = window.get(pos, min(pos + 65_536, window.base + len(window.buf)))
-            got = z.decompress(piece)
-            pos += len(piece) - len(z.unused_data)
-            out.append(got)
-            size += len(got)
-            if size >= len(VERSION) and not b"".join(out[:8])[: len(VERSION)].startswith(VERSION):
-                return None, pos, "member without version line"
-    except zlib.error as e:
-        return None, pos, f"bad member: {str(e)[:80]}"
-    return b"".join(out), pos, ""
+            if not self.window.fill(self.end + 1):
+                self.reason = "truncated member"
+                return
+            piece = self.window.get(self.end, self.end + step)
+            before, step = z.copy(), self.step
+            try:
+                got = z.decompress(piece)
+            except zlib.error as e:
+                self.reason = f"bad member: {str(e)[:80]}"
+                yield b"".join(self._last(before, piece))
+                return
+            self.end += len(piece) - len(z.unused_data)
+            yield got
+        self.whole = True
+
+    def _last(self, z, piece: bytes, parts: tuple[int, ...] = (64, 1)):
+        """What a piece gives before its damage, in ever smaller parts."""
+        for k in range(0, len(piece), parts[0]):
+            part = piece[k : k + parts[0]]
+            before = z.copy() if parts[1:] else None
+            try:
+                yield z.decompress(part)
+            except zlib.error:
+                if before is not None:
+                    yield from self._last(before, part, parts[1:])
+                return
+
+    def records(self):
+        """Each record that passes its own checks, as soon as it is unpacked."""
+        buf, at, need, seeking, begun = bytearray(), 0, len(VERSION), False, False
+        for piece in chain(self.pieces(), [None]):
+            buf += piece or b""
+            if not begun and len(buf) >= len(VERSION):
+                begun = True
+                if not buf.startswith(VERSION):
+                    self.whole, self.reason = False, "member without version line"
+                    return
+            while at < len(buf) and (len(buf) >= need or piece is None):
+                if seeking:
+                    hit = buf.find(VERSION, at)
+                    at, seeking = (hit, False) if hit >= 0 else (max(at, len(buf) - len(VERSION) + 1), True)
+                    if seeking:
+                        break
+                fields, size, failed = _parse(buf, at)
+                if fields is not None:
+                    at += size
+                    yield fields
+                    continue
+                short = len(buf) - at < len(VERSION) or failed == "truncated block" or failed == "no end of headers" and len(buf) - at < MAX_HEADER
+                if short and piece is not None:
+                    # headers are looked at again when there is twice as much of them
+                    need = at + size if failed == "truncated block" else at + max(len(VERSION), 2 * (len(buf) - at))
+                    break
+                if short and not self.whole:
+                    # cut off by the damage: what its payload quotes is no record
+                    return
+                # go on behind the record, else at the next version line
+                self.reason, seeking = self.reason or failed, True
+                at += size if size and failed != "truncated block" else 1
+            if at > 1 << 20:
+                drop = min(at, len(buf))
+                del buf[:drop]
+                at, need = at - drop, need - drop
 
 
 def salvage(stream):
     """Yield ('record', offset, length, reason, fields) and ('gap', offset, length, reason, None) of an archive.
 
-    The file may be plain or compressed record by record, and may change between the two. A damaged
-    record whose own length still leads to its end goes as a whole. Memory is one record, or as many bytes as
-    a damaged length promises (``MAX_BLOCK`` at most, the rest of the file at most), and a window of about a megabyte.
+    The file may be plain or compressed, with one record a member or many, and may change between the two. A damaged
+    record whose own length still leads to its end goes as a whole. In a damaged member the records that pass their own
+    checks are kept, with length 0, and its bytes are a gap; what stands behind the damage in it can't be unpacked.
+    Memory is one record, or as many bytes as a damaged length promises (``MAX_BLOCK`` at most, the rest of the file at most),
+    the compressed bytes of one member, ``HELD`` bytes of its records, and a window of about a megabyte.
     """
     window, at, bad, why = _Window(stream), 0, -1, ""
 
     while window.fill(at + 1):
         head = window.get(at, at + len(VERSION))
-        found, end, reason = [], at, ""
+        found, held, end, reason = [], 0, at, ""
         if head.startswith(MAGIC):
-            data, end, reason = _member_at(window, at)
-            pos = 0
-            while data is not None and 0 <= pos < len(data):
-                fields, size, failed = _parse(data[pos:] if pos else data)
-                if fields is None:
-                    # the member's checksum is right: go on behind the record, else at its next version line
-                    reason = reason or failed
-                    pos = data.find(VERSION, pos + (size if size and failed != "truncated block" else 1))
-                    continue
+            one = _Member(window, at)
+            some = False
+            for fields in one.records():
+                some = True
                 found.append(fields)
-                pos += size
-            after = end if data is not None else at + 1
-            ok = data is not None and not reason and found
+                held += len(fields["payload"]) + 1024
+                if held > HELD:
+                    # the member is not read to its end, so its checks are not known yet
+                    for fields in found:
+                        yield "record", at, 0, fields["note"] or "in a long member", fields
+                    found, held = [], 0
+            end, reason = one.end, one.reason
+            after = end if one.whole else at + 1
+            ok = one.whole and not reason and some
         elif head == VERSION:
             ahead, after = HEADER_STEP, at + 1
             fields, size, reason = _parse(window.get(at, at + ahead))
@@ -223,7 +311,7 @@ def salvage(stream):
                 yield "gap", bad, at - bad, why, None
                 bad = -1
             for fields in found:
-                yield "record", at, end - at, "", fields
+                yield "record", at, end - at, fields["note"], fields
             at = end
             window.drop(at)
             continue

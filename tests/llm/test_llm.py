@@ -448,3 +448,53 @@ def test_decontamination_of_short_numeric_and_unspaced_items(spark, monkeypatch,
     got = sorted((r.doc_id, r.item_id, r.exact) for r in decontam.contaminated(docs, bench).collect())
     assert got == [(10, 1, True), (12, 2, True), (14, 3, True), (16, 4, True), (18, 8, True), (20, 9, False), (24, 1, True)]
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {11, 13, 15, 17, 19, 21, 22, 23}
+
+
+def _member_of(n, size=400):
+    rnd = random.Random(n)
+    payloads = [rnd.randbytes(size) for _ in range(n)]
+    return [warc.record("response", f"urn:page:{k}", p, warc.sha1_base32(p)) for k, p in enumerate(payloads)]
+
+
+def test_warc_salvage_of_a_damaged_member_of_many_records(monkeypatch):
+    recs = _member_of(300)
+    tail = warc.member(_member_of(1)[0].replace(b"urn:page:0", b"urn:page:999"))
+    whole = bytearray(warc.member(b"".join(recs)))
+    read = lambda b: [(k, f and int(f["warc-record-id"][10:-1])) for k, _, _, _, f in warc.salvage(io.BytesIO(bytes(b)))]
+    assert read(whole + tail) == [("record", k) for k in (*range(300), 999)]
+    checksum, late, cut = bytearray(whole), bytearray(whole), whole[: len(whole) * 2 // 3]
+    checksum[-6] ^= 1
+    late[-300] ^= 0xFF
+    assert read(checksum + tail) == [*[("record", k) for k in range(300)], ("gap", None), ("record", 999)]
+    got = read(late + tail)
+    assert got[:299] == [("record", k) for k in range(299)] and got[-2:] == [("gap", None), ("record", 999)]
+    assert 190 <= len([k for k, _ in read(cut) if k == "record"]) < 300
+    gaps = [(o, n, why) for kind, o, n, why, _ in warc.salvage(io.BytesIO(bytes(checksum + tail))) if kind == "gap"]
+    assert gaps == [(0, len(whole), gaps[0][2])] and "bad member" in gaps[0][2]
+    monkeypatch.setattr(warc, "HELD", 10_000)
+    assert read(whole + tail) == [("record", k) for k in (*range(300), 999)] and read(checksum + tail)[:300] == [("record", k) for k in range(300)]
+
+
+def test_warc_digests_and_folded_headers():
+    body = b"some payload"
+    good = warc.record("response", "urn:page:1", body, warc.sha1_base32(body))
+    told = f"sha1:{warc.sha1_base32(body)}".encode()
+    import hashlib
+
+    for digest, note in ((b"sha256:" + b"ab" * 32, "digest not checked"), (b"sha1:" + hashlib.sha1(body).hexdigest().encode(), ""), (b"md5:00", "digest not checked")):
+        for pack in (bytes, warc.member):
+            assert [(k, why, f and f["payload"]) for k, _, _, why, f in warc.salvage(io.BytesIO(pack(good.replace(told, digest))))] == [("record", note, body)]
+    wrong = good.replace(told, b"sha1:" + b"0" * 40)
+    assert [k for k, *_ in warc.salvage(io.BytesIO(wrong))] == ["gap"]
+    folded = good.replace(b"WARC-Date:", b"X-Note: first\r\n second\r\n\tthird\r\nWARC-Date:")
+    assert [(k, f["x-note"]) for k, *_, f in warc.salvage(io.BytesIO(folded))] == [("record", "first second third")]
+
+
+def test_warc_large_member_in_linear_time():
+    import time
+
+    recs = _member_of(500, 100_000)
+    data = warc.member(b"".join(recs), 1)
+    start = time.time()
+    assert sum(k == "record" for k, *_ in warc.salvage(io.BytesIO(data))) == 500
+    assert time.time() - start < 15
