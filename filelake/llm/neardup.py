@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,15 +75,28 @@ def _compare(groups: DataFrame, by: list[str], k: int) -> DataFrame:
     return groups.groupBy(*by).applyInArrow(run, "a long, b long, sim double")
 
 
-def start_graph(base: DataFrame, k: int, trees: int, seed: int) -> DataFrame:
-    """First neighbour lists: leaves of random hyperplane codes, long leaves cut along one more projection."""
+def trees_for(depth: int, threshold: float, miss: float = 0.01, least: int = 10) -> int:
+    """Trees after which a pair at the threshold has shared the code of ``depth`` planes at least once, but for a share of ``miss``."""
+    together = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** depth
+    return least if together >= 1 else max(least, int(np.ceil(np.log(miss) / np.log1p(-together))))
+
+
+def start_graph(base: DataFrame, k: int, trees: int | None, seed: int, threshold: float = 0.98) -> DataFrame:
+    """First neighbour lists: leaves of random hyperplane codes, long leaves cut along one more projection.
+
+    Codes get longer as labels grow; without ``trees`` their number grows with them.
+    """
     size = base.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     depth = max(0, int(np.ceil(np.log2(size / (LEAF / 2)))))
+    trees = trees or trees_for(depth, threshold)
+
+    def by_length(batch):
+        sizes = pc.list_value_length(batch.column(2))
+        for n in pc.unique(sizes).to_pylist():
+            yield batch.filter(pc.equal(sizes, n))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in by_length(whole)):
             column = batch.column(2)
             x = _matrix(column)
             rng = np.random.default_rng(seed)
@@ -234,16 +248,18 @@ def enlarge(edges: DataFrame, base: DataFrame, threshold: float, block: int = 51
     return tiles.groupBy("component", "block", "other").applyInArrow(run, "id long, other long, linked long")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = 12, trees: int = 10, rounds: int = 3, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = 12, trees: int | None = None, rounds: int = 3, seed: int = 11) -> DataFrame:
     """One row per row of ``vectors``: key, n_links, component_id, kept.
 
     Only vectors of one label (not null) are compared, by cosine in double precision. Vectors
     that are null, zero, or hold null or non-finite components link with nothing, nor do rows
     with a null key. Equal vectors are one node that counts its copies, so they are never
     paired; vectors of different lengths link with nothing of each other. ``key`` is an integer and unique.
+    Other columns of ``vectors`` are left out. ``trees``: see ``start_graph``.
     """
+    vectors = vectors.select(key, vector, label)
     base = materialise(clean_vectors(vectors, key, vector, label))
-    graph = refine(start_graph(base, k, trees, seed), base, k, rounds)
+    graph = refine(start_graph(base, k, trees, seed, threshold), base, k, rounds)
     edges = materialise(graph.where(F.col("sim") >= threshold).select("a", "b"))
     # groups that this joins are compared whole below
     edges = materialise(edges.union(bridges(graph, components(edges), base, threshold, k)))

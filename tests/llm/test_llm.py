@@ -498,3 +498,26 @@ def test_warc_large_member_in_linear_time():
     start = time.time()
     assert sum(k == "record" for k, *_ in warc.salvage(io.BytesIO(data))) == 500
     assert time.time() - start < 15
+
+
+def test_near_duplicates_of_several_lengths_and_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (2, 3, 4, 16):
+        base = rng.standard_normal((40, n))
+        x = np.concatenate([base, base[:15] + 0.01 * rng.standard_normal((15, n))])
+        rows += [[float(v) for v in r] for r in np.float32(x)]
+    rows = [(k, v, k % 2, 7, 8, False) for k, v in enumerate(rows)]
+    schema = "vec_id long, embedding array<float>, label int, n_links int, component_id int, kept boolean"
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, *_ in rows]
+    links = {(a, b) for a, b in combinations(range(len(rows)), 2) if a % 2 == b % 2 and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98}
+    assert len(links) > 100 and {k: r.n_links for k, r in got.items()} == {k: sum(k in p for p in links) for k in range(len(rows))}
+    assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_trees_grow_with_the_depth_of_codes():
+    depths = [neardup.trees_for(d, 0.98) for d in (0, 5, 12, 19, 25, 32)]
+    assert depths == sorted(depths) and depths[0] == 10
+    for d, n in zip((0, 5, 12, 19, 25, 32), depths, strict=True):
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** d) ** n <= 0.0101
