@@ -521,3 +521,42 @@ def test_trees_grow_with_the_depth_of_codes():
     assert depths == sorted(depths) and depths[0] == 10
     for d, n in zip((0, 5, 12, 19, 25, 32), depths, strict=True):
         assert (1 - (1 - np.arccos(0.98) / np.pi) ** d) ** n <= 0.0101
+
+
+NEAR_KINDS = {
+    "14 words, 1": (14, [6]), "6 words, 1 and 3": (6, [0, 2]), "40 words, every fifth": (40, range(4, 40, 5)), "14 words, 2, 5, 8 and 11": (14, [1, 4, 7, 10]), "6 words, 1, 3 and 5": (6, [0, 2, 4]),
+    "90 words, every fourth": (90, range(3, 90, 4)), "4 words, 1": (4, [1]), "300 words, every sixth": (300, range(5, 300, 6)), "30 Han characters, 1": None,
+}
+
+
+def test_line_dedup_recall_in_each_kind_of_near_line(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rnd = random.Random(3)
+    vocabulary = [w for r in docs.limit(40).collect() for w in (r.text or "").split() if len(w) > 2]
+    rows, later, key = [], {}, 10**7
+    for name, kind in NEAR_KINDS.items():
+        for _ in range(100):
+            line = rnd.choices(vocabulary, k=kind[0]) if kind else [chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(30)]
+            # shorter lines of four words are matched exactly only
+            while kind and len(" ".join(line)) < linededup.FUZZY_CHARS:
+                line = rnd.choices(vocabulary, k=kind[0])
+            near = [*line]
+            for k in kind[1] if kind else [rnd.randrange(30)]:
+                at = rnd.randrange(len(near[k]))
+                near[k] = near[k][:at] + (rnd.choice("qxzjkv") if kind else "龥") + near[k][at + 1 :]
+            rows += [(key, (" " if kind else "").join(line)), (key + 1, (" " if kind else "").join(near))]
+            later.setdefault(name, []).append(key + 1)
+            key += 2
+    got = {r.doc_id for r in linededup.removed_lines(docs.union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(8)).collect()}
+    found = {name: sum(k in got for k in keys) for name, keys in later.items()}
+    print("of 100 each:", found)
+    assert min(found.values()) >= 90
+    # first lines of the pairs stay: nothing but near lines goes
+    assert not {r for r in got if r >= 10**7 and r % 2 == 0}
+
+
+def test_line_dedup_leaves_other_lines_alone(spark):
+    rows = [(1, "four words of text"), (2, "some words in text"), (3, "完全不同的一个句子在这里"), (4, "另外还有其他内容写在下面"), (5, "alpha beta gamma delta epsilon zeta " * 60), (6, "alpha beta gamma other thing zeta " * 60), (7, None), (8, ""), (9, "甲乙" * 40_000)]
+    docs = spark.createDataFrame([(*r, True, 3) for r in rows], "doc_id long, text string, __gone boolean, __key int")
+    out = linededup.dedup_lines(docs).collect()
+    assert {r.doc_id: r.text for r in out} == dict(rows) and all(r.n_removed == 0 and r["__gone"] is True for r in out)
