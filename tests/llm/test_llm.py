@@ -560,3 +560,27 @@ def test_line_dedup_leaves_other_lines_alone(spark):
     docs = spark.createDataFrame([(*r, True, 3) for r in rows], "doc_id long, text string, __gone boolean, __key int")
     out = linededup.dedup_lines(docs).collect()
     assert {r.doc_id: r.text for r in out} == dict(rows) and all(r.n_removed == 0 and r["__gone"] is True for r in out)
+
+
+def test_line_pairs_by_characters_equal_brute_force(spark):
+    rnd, rows = random.Random(1), []
+    word = lambda: "".join(rnd.choices("abcé", k=rnd.randrange(1, 5)))
+    for i in range(1500):
+        line = [word() for _ in range(rnd.choice([1, 2, 3, 5, 8, 12, 30]))]
+        near = [*line]
+        for _ in range(rnd.randrange(4)):
+            at, kind = rnd.randrange(len(near)), rnd.random()
+            if kind < 0.4:
+                near[at] = word()
+            elif kind < 0.7:
+                near.insert(at, word())
+            elif len(near) > 1:
+                near.pop(at)
+        a, b = " ".join(line), " ".join(near)
+        rows.append((i, -i, len(a), a, len(b), b))
+    pairs = spark.createDataFrame(rows, "cid long, other long, na int, ta string, nb int, tb string")
+    want = {r.cid: (r.d, r.near) for r in pairs.selectExpr("cid", "levenshtein(ta, tb) as d", "levenshtein(ta, tb) <= floor(0.2 * greatest(na, nb) + 1e-9) as near").collect()}
+    middle = linededup.unlike_middles(pairs).select("cid", F.levenshtein(F.array_join("ta", " "), F.array_join("tb", " ")).alias("d"))
+    assert {r.cid: r.d for r in middle.collect()} == {k: d for k, (d, _) in want.items()}
+    assert {r.cid: r.near for r in linededup.by_characters(pairs, 0.8).collect()} == {k: near for k, (_, near) in want.items()}
+    assert 300 < sum(near for _, near in want.values()) < 1400
