@@ -584,3 +584,18 @@ def test_line_pairs_by_characters_equal_brute_force(spark):
     assert {r.cid: r.d for r in middle.collect()} == {k: d for k, (d, _) in want.items()}
     assert {r.cid: r.near for r in linededup.by_characters(pairs, 0.8).collect()} == {k: near for k, (_, near) in want.items()}
     assert 300 < sum(near for _, near in want.values()) < 1400
+
+
+@pytest.mark.parametrize("part", [16, 512])
+def test_line_dedup_compares_all_of_a_crowded_bucket(spark, monkeypatch, part):
+    monkeypatch.setattr(linededup, "PART", part, raising=False)
+    rnd, n = random.Random(4), 60
+    word = lambda: "".join(rnd.choices("abcdefghijklm", k=8))
+    lines = [[word() for _ in range(3)] + ["inside", "shared"] + [word() for _ in range(4)] for _ in range(n)]
+    # a wrong letter in each word but the two that all lines share
+    near = [[w if w in ("inside", "shared") else w[:3] + "z" + w[4:] for w in line] for line in lines]
+    docs = spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines + near)], "doc_id long, text string").coalesce(1)
+    sketches = {r.doc_id: set(r.s) for r in docs.select("doc_id", linededup.sketch(F.col("text"), 5).alias("s")).collect()}
+    meet = {n + k for k in range(n) if sketches[k] & sketches[n + k]}
+    assert 25 < len(meet)
+    assert {r.doc_id for r in linededup.removed_lines(docs).collect()} == meet
