@@ -599,3 +599,18 @@ def test_line_dedup_compares_all_of_a_crowded_bucket(spark, monkeypatch, part):
     meet = {n + k for k in range(n) if sketches[k] & sketches[n + k]}
     assert 25 < len(meet)
     assert {r.doc_id for r in linededup.removed_lines(docs).collect()} == meet
+
+
+def test_line_pairs_are_decided_by_characters_at_any_length(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choices("abcdefghijklm", k=n))
+    wrong = lambda line: [w[:3] + "z" + w[4:] for w in line]
+    short, long = [word(10) for _ in range(20)], [word(8) for _ in range(400)]
+    # a fifth of the words, but more of the characters
+    mixed = [word(20) if k % 5 == 0 else word(2) for k in range(300)]
+    other = [word(20) if k % 5 == 0 else w for k, w in enumerate(mixed)]
+    one = [*long[:200], word(8), *long[201:]]
+    texts = [" ".join(x) for x in (short, wrong(short), long, wrong(long), mixed, other, long, one)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "cid long, norm string")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(0, len(texts), 2)], "cid long, other long")
+    assert {(r.a, r.b) for r in linededup.verified(pairs, lines, 0.8).collect()} == {(0, 1), (2, 3), (6, 7)}
