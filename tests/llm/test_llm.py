@@ -601,6 +601,25 @@ def test_line_dedup_compares_all_of_a_crowded_bucket(spark, monkeypatch, part):
     assert {r.doc_id for r in linededup.removed_lines(docs).collect()} == meet
 
 
+def test_line_dedup_in_rounds_drops_what_it_has_used(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefghijklmé", k=8))
+    lines = [[word() for _ in range(3)] + ["inside", "shared"] + [word() for _ in range(4)] for _ in range(40)]
+    near = [[w if w in ("inside", "shared") else w[:3] + "z" + w[4:] for w in line] for line in lines]
+    docs = spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines + near)], "doc_id long, text string").coalesce(1)
+    sketches = {r.doc_id: set(r.s) for r in docs.select("doc_id", linededup.sketch(F.col("text"), 5).alias("s")).collect()}
+    meet = {40 + k for k in range(40) if sketches[k] & sketches[40 + k]}
+    monkeypatch.setattr(linededup, "ROUND", 60, raising=False)
+    monkeypatch.setattr(linededup, "PART", 16)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in files.getAllFiles().mkString("\n").splitlines() if "/shuffle_" in x}
+    tables, before = common.made(), shuffled()
+    out = linededup.dedup_lines(docs)
+    # one table, that of the lines to cut, is what the result reads; nothing that was shuffled on the way is left
+    assert common.made() == tables + 1 and not shuffled() - before
+    assert {r.doc_id for r in out.where("n_removed > 0").collect()} == meet
+
+
 def test_line_pairs_are_decided_by_characters_at_any_length(spark):
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choices("abcdefghijklm", k=n))
