@@ -56,3 +56,14 @@ def test_extraction_goes_by_encoding(spark):
 
 def test_small_fixture_is_all_there(spark, sf_dir):
     assert catalogue.coded(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_text_behind_heads_is_no_page():
+    # capitals and blanks with accents, which windows-1252 makes text of
+    text = "ACCIÓN!! CIÓNAÑO!! QUE!! ESCIÓN!! LA!! ÑCO,!! ÍDOCIÓN!! ".encode()
+    for head in ("D0CF11E0A1B11AE1", "89504E470D0A1A0A", "FFD8FF"):
+        for times in (1, 3, 40, 2000):
+            assert charsets.guess(bytes.fromhex(head) + text * times) == (None, 0.0)
+    # the same text in its page stays that, and Cyrillic that is UTF-8 in part does
+    assert charsets.guess(text.decode().encode("cp1252") * 3)[0] == "windows-1252"
+    assert charsets.guess(("Итив " * 25).encode("cp866"))[0] == "ibm866"
