@@ -67,3 +67,9 @@ def test_text_behind_heads_is_no_page():
     # the same text in its page stays that, and Cyrillic that is UTF-8 in part does
     assert charsets.guess(text.decode().encode("cp1252") * 3)[0] == "windows-1252"
     assert charsets.guess(("Итив " * 25).encode("cp866"))[0] == "ibm866"
+
+
+def test_options_of_text_behind_heads(spark):
+    text = "ACCIÓN!! CIÓNAÑO!! QUE!! ESCIÓN!! LA!! ÑCO,!! ÍDOCIÓN!! ".encode() * 20
+    files = spark.createDataFrame([(1, bytearray(b"\x89PNG\r\n\x1a\n" + text))], "file_id long, content binary")
+    assert [(r.ord, r.label) for r in V.encoding_options(V.detect_encoding(files)).orderBy("ord").collect()] == list(enumerate(V.ENCODINGS))
