@@ -73,3 +73,14 @@ def test_options_of_text_behind_heads(spark):
     text = "ACCIÓN!! CIÓNAÑO!! QUE!! ESCIÓN!! LA!! ÑCO,!! ÍDOCIÓN!! ".encode() * 20
     files = spark.createDataFrame([(1, bytearray(b"\x89PNG\r\n\x1a\n" + text))], "file_id long, content binary")
     assert [(r.ord, r.label) for r in V.encoding_options(V.detect_encoding(files)).orderBy("ord").collect()] == list(enumerate(V.ENCODINGS))
+
+
+def test_single_accented_words_are_western():
+    assert charsets.guess(("il mare è blu, la casa è rossa " * 9).encode("cp1252"))[0] == "windows-1252"
+    assert charsets.guess(("и в с о к " * 30).encode("cp1251"))[0] == "windows-1251"
+
+
+def test_page_is_looked_for_behind_long_ascii(spark):
+    late = b"a plain line of text\n" * 4000 + ("il mare è blu, perché no, città " * 9).encode("cp1252")
+    files = spark.createDataFrame([(1, bytearray(late))], "file_id long, content binary")
+    assert [(r.encoding, r.guessed) for r in V.detect_encoding(files).collect()] == [("windows-1252", True)]
