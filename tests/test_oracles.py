@@ -35,3 +35,13 @@ def test_matches_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_readers_of_short_files_behind_heads(spark, tmp_path):
+    # short files with the head of PNG, of which two lines look like a text's own
+    docs = spark.createDataFrame([(3, "a,1\nb,2\nc"), (307, "one line"), (611, ""), (4, "x,y\nz")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = rows(catalogue.QUERIES["register_reader"](spark, str(tmp_path)).toPandas())
+    assert got == rows(c.execute(catalogue.ORACLES["register_reader"]).fetchdf()) and len(got[1]) == 4
