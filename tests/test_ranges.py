@@ -54,3 +54,22 @@ def test_source_of_ranges(spark, folder):
         assert r.offset == len(got.get(r.file_id, b"")) and r.size == len(whole[r.file_id])
         got[r.file_id] = got.get(r.file_id, b"") + bytes(r.data)
     assert got == whole
+
+
+@pytest.mark.parametrize("step", [7, 50, 1 << 20])
+def test_digests_of_files_by_ranges(spark, folder, step):
+    import hashlib
+
+    whole = {r.file_id: bytes(r.content) for r in read_files(spark, folder).collect()}
+    shared = ranges.read_ranges(spark, folder, step, 120)
+    assert shared.rdd.getNumPartitions() == sum(-(-len(b) // (max(120 // step, 1) * step)) for b in whole.values())
+    found = sorted(map(tuple, ranges.file_digests(shared).collect()))
+    assert found == sorted((k, -(-len(b) // step), len(b), hashlib.md5(b).hexdigest()) for k, b in whole.items() if b)
+
+
+def test_digests_gather_no_file(spark, sf_dir):
+    # a file as one value would be twice as long in hex, and strings end at 2 GB
+    from filelake.plans import catalogue
+
+    plan = catalogue.QUERIES["read_ranges"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
