@@ -180,3 +180,22 @@ def test_office_texts_are_extracted(spark):
     texts = lambda k: [r.text for r in sorted(found, key=lambda r: r.seq) if r.file_id == k]
     assert texts(1) == ["1. a <b>    L3", "cell", "a <b>\n3", "H3", "a <b>  x", "item", "a <b>\t300%\ti3"]
     assert texts(2)[0] is None and "broken package" in " ".join(texts(2)[1:]) and texts(3) == ["one", "two"]
+
+
+def test_extraction_drops_packages_and_entries(spark, tmp_path, monkeypatch):
+    import uuid
+
+    from filelake.operators import readers
+    from filelake.plans.documents import _parts, _zip
+    from filelake.sources import files
+
+    for module in (files, readers):
+        monkeypatch.setattr(module, "shared_path", lambda spark: f"file://{tmp_path}/{uuid.uuid4().hex}", raising=False)
+    rows = [(1, "p.docx", _zip(_parts([3], ["a <b>"]))), (2, "q.docx", b"PK\x03\x04 broken package"), (3, "n.txt", b"one\ntwo")]
+    extracted = readers.extract_all(spark.createDataFrame(rows, "file_id long, name string, content binary"))
+    kept = [spark.read.parquet(f"file://{x}") for x in tmp_path.iterdir() if any(x.rglob("*.parquet"))]
+    assert not [x for x in kept if "path" in x.columns]
+    assert sorted(bytes(r.content) for x in kept if "content" in x.columns for r in x.collect()) == [b"PK\x03\x04 broken package", b"one\ntwo"]
+    assert {r.file_id for r in extracted.collect()} == {1, 2, 3}
+    # no package at all
+    assert [r.text for r in readers.extract_all(spark.createDataFrame(rows[2:], "file_id long, name string, content binary")).orderBy("seq").collect()] == ["one", "two"]
